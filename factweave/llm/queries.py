@@ -5,10 +5,16 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_warc": "warc",
     "op2_mixing": "mixing",
+    "op3_quality": "quality",
     "op4_chat": "chat",
     "op5_exact_dedup": "exact_dedup",
+    "op6_near_dedup": "near_dedup",
     "op7_bpe": "bpe",
+    "op8_licenses": "licenses",
+    "op9_toxicity": "toxicity",
+    "op10_neighbours": "neighbours",
 }
 
 
@@ -17,8 +23,13 @@ def _all():
 
 
 def queries():
-    return {name: module.query for name, module in _all().items()}
+    import corpus_pipeline
+
+    return {name: module.query for name, module in _all().items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {name: module.SQL for name, module in _all().items() if getattr(module, "SQL", None)}
+    import corpus_pipeline
+
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {name: module.SQL for name, module in _all().items() if getattr(module, "SQL", None)} | pipeline
