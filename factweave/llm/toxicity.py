@@ -83,7 +83,9 @@ class Grammar:
     def read(self, word: str) -> tuple[int, float]:
         got = self.memo.get(word)
         if got is None:
-            weight = max((self.lexicon.get(f, 0.0) for f in forms(word)), default=0.0)
+            weight = self.lexicon.get(word + "$")  # what is known of the whole word goes before its beginnings
+            if weight is None:
+                weight = max((self.lexicon.get(f, 0.0) for f in forms(word)), default=0.0)
             got = (INSULT, weight) if weight else (CLASS.get(word, OTHER), 0.0)
             if len(self.memo) < _MEMO:
                 self.memo[word] = got
@@ -137,20 +139,27 @@ def lexicon(rows: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000], t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["term", "a", "b"])
 
     counts = rows.select("text", "y").mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = counts.where((F.col("term") == "") | (F.col("a") >= 3)).persist()
+    counts = counts.persist()
     try:
         whole = counts.where("term = ''").first()
         if whole is None or not whole["a"] or not whole["b"]:
             return {}
         n1, n0 = whole["a"], whole["b"]
-        candidates = counts.where("term <> ''").count()
+        candidates = counts.where("term <> '' AND a >= 3").count()
         a, b = F.col("a").cast("double"), F.col("b").cast("double")
         both, share = a + b, n1 / (n1 + n0)
         part = lambda k, p: F.when(k > 0, k * F.log(k / (both * p))).otherwise(0.0)
         ratio = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
-        strong = counts.where("term <> ''").select("term", ratio.alias("w"), (part(a, share) + part(b, 1 - share)).alias("g"))
+        strong = counts.where("term <> '' AND a >= 3").select("term", ratio.alias("w"), (part(a, share) + part(b, 1 - share)).alias("g"))
         strong = strong.where((F.col("w") > 2.5) & (F.col("g") > float(np.log(max(1, candidates)) + 1))).orderBy(F.desc("g"), "term").limit(entries)
-        return {r["term"]: r["w"] for r in strong.collect()}
+        found = {r["term"]: r["w"] for r in strong.collect()}
+        # Whole words that clean rows use, too, though a marked beginning covers them.
+        starts = sorted(t for t in found if not t.endswith("$"))
+        covered = F.lit(False)
+        for k in FORMS:
+            covered = covered | F.substring("term", 1, k).isin([t for t in starts if len(t) == k])
+        spared = counts.where(F.col("term").endswith("$") & (F.col("b") >= 2) & covered).select("term", ratio.alias("w"))
+        return found | {r["term"]: max(0.0, r["w"]) for r in spared.orderBy(F.desc("b"), "term").limit(entries).collect() if r["term"] not in found}
     finally:
         counts.unpersist()
 
