@@ -77,7 +77,7 @@ def _role_out(role):
 
 def _join_lines(role):
     """Undo the role's backslash code: pieces between doubled backslashes hold line marks only."""
-    pieces = F.transform(F.split(role, r"\\\\\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    pieces = F.transform(F.split(role, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
     return F.array_join(pieces, "\\")
 
 

@@ -219,3 +219,17 @@ def keep_one(docs: DataFrame, words: int = 5, share: int = 80, rows: int = 7, ba
 
 def query(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+x AS (SELECT doc_id, l, unnest(range(1, greatest(2, len(l) - 1))) AS i FROM w WHERE len(l) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(l) < 3 THEN array_to_string(l, ' ') ELSE l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] END AS g FROM x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r(id, z) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.z = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(z) AS c FROM r GROUP BY id) m ON m.id = d.doc_id
+"""
