@@ -431,10 +431,10 @@ def u5_intersect(spark, d):
     return t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT o_custkey, o_orderkey, row_number() OVER w AS k, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+@query("SELECT o_custkey, o_orderkey, row_number() OVER w AS k, coalesce(lag(o_orderkey) OVER w, -1) AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def a10_window(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return t(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("k"), F.lag("o_orderkey").over(w).alias("before"))
+    return t(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("k"), F.coalesce(F.lag("o_orderkey").over(w), F.lit(-1).cast("long")).alias("before"))
 
 
 @query("WITH g AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM g GROUP BY user_id, s")
@@ -505,6 +505,6 @@ def f17_package(spark, d):
     return t(spark, d, "part").select("p_partkey", fn.package_of(spec).alias("package"))
 
 
-@query()
+@query("SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), '^[^a]*al') THEN 1.0::DOUBLE WHEN lower(p_name) LIKE '%a%l%' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM part")
 def f5_fzy(spark, d):
     return t(spark, d, "part").select("p_partkey", fn.fzy_score(F.col("p_name"), F.lit("al")).alias("score"))
