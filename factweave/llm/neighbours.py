@@ -28,6 +28,7 @@ from .common import materialize, table
 
 BITS, PARTS, SAMPLE, SHARD, BLOCK, RECALL, SPARE = 64, 4, 4000, 8192, 2048, 0.99, 2
 ROUNDS = 20
+_PLACES = np.uint64(1) << (np.uint64(16) * np.arange(4, dtype=np.uint64))
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -77,24 +78,31 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, coder: Coder):
         self.ids, self.vectors, self.codes = ids, vectors, coder.codes(vectors)
+        self.longest = math.sqrt(float((vectors * vectors).sum(1).max()))
+        self.whole = self.codes.astype(np.uint64) @ _PLACES[: self.codes.shape[1]]
         self.parts = []
         for p in range(self.codes.shape[1]):
             values, where = np.unique(self.codes[:, p], return_inverse=True)
             order = np.argsort(where, kind="stable")
-            self.parts.append((values, order, np.r_[0, np.cumsum(np.bincount(where, minlength=len(values)))]))
+            self.parts.append((values, where, order, np.r_[0, np.cumsum(np.bincount(where, minlength=len(values)))]))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code lies within the radius: pigeonhole probing of every substring, then the whole code."""
         near = np.zeros(len(self.ids), bool)
-        for p, (values, order, ends) in enumerate(self.parts):
-            hit = np.flatnonzero(_POP[values ^ code[p]] <= radius // len(self.parts))
+        for p, (values, where, order, ends) in enumerate(self.parts):
+            close = _POP[values ^ code[p]] <= radius // len(self.parts)
+            hit = np.flatnonzero(close)
             if len(hit) == len(values):
                 near[:] = True
                 break
-            for h in hit:
-                near[order[ends[h] : ends[h + 1]]] = True
+            if len(hit) <= 16:  # few buckets: their rows; many: one pass over the rows' buckets
+                for h in hit:
+                    near[order[ends[h] : ends[h + 1]]] = True
+            else:
+                near |= close[where]
         rows = np.flatnonzero(near)
-        return rows[distances(code, self.codes[rows]) <= radius]
+        whole = code.astype(np.uint64) @ _PLACES[: len(code)]
+        return rows[np.bitwise_count(self.whole[rows] ^ whole) <= radius]
 
     def nearest(self, query_id: int, vector: np.ndarray, code: np.ndarray, radius: int, k: int):
         while True:
@@ -103,6 +111,11 @@ class Index:
             if len(rows) >= min(k, len(self.ids) - 1) or radius >= 16 * len(self.parts):
                 break
             radius += len(self.parts)
+        # One product finds all that can be among the k; their scores are then summed row by row, so equal vectors tie.
+        rough = (self.vectors @ vector)[rows] if 2 * len(rows) > len(self.ids) else self.vectors[rows] @ vector
+        if len(rows) > k:
+            least = np.partition(rough, len(rows) - k)[len(rows) - k]
+            rows = rows[rough >= least - 1e-10 * self.longest * math.sqrt(float(vector @ vector))]
         scores = (self.vectors[rows] * vector).sum(1)
         best = np.lexsort([self.ids[rows], -scores])[:k]
         return self.ids[rows[best]], scores[best]
