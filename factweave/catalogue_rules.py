@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import query, t
 from .functions import paths
-from .operators import graph, sinks
+from .operators import graph, planning, sinks
 from .operators.extract import extract, facts, tables
 from .plans import sqlgate
 from .plans.language import parse
@@ -310,3 +310,63 @@ def o2_order_limit(spark, d):
 @query("SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS last FROM orders GROUP BY o_custkey")
 def o4_top_one(spark, d):
     return t(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_orderkey").alias("last"))
+
+
+# ---- planning ------------------------------------------------------------------------------------------------------
+
+
+def _resolved(spark, d):
+    """Imports of suppliers' files with the nation's file they resolve to."""
+    found = facts(_js(spark, d)).where("kind = 'import_path'")
+    return found.select("path", "value", "span_start", "span_end", F.concat(F.replace("value", F.lit("../"), F.lit("")), F.lit(".ts")).alias("target"))
+
+
+@query("SELECT 'supplier/s' || s_suppkey || '.ts' AS path, '../moved/n' || s_nationkey AS new FROM supplier WHERE s_nationkey % 2 = 0")
+def t8_plan_moves(spark, d):
+    n = t(spark, d, "nation").where("n_nationkey % 2 = 0")
+    moves = n.select(F.concat(F.lit("nation/n"), s("n_nationkey"), F.lit(".ts")).alias("old_path"), F.concat(F.lit("moved/n"), s("n_nationkey"), F.lit(".ts")).alias("new_path"))
+    return planning.plan_moves(_resolved(spark, d), moves).select("path", "new")
+
+
+@query("SELECT 'nation/n' || s_nationkey || '.ts' AS target, count(*) AS broken FROM supplier WHERE s_nationkey < 10 GROUP BY s_nationkey")
+def t10_broken_imports(spark, d):
+    gone = t(spark, d, "nation").where("n_nationkey < 10").select(F.concat(F.lit("nation/n"), s("n_nationkey"), F.lit(".ts")).alias("path"))
+    return planning.broken_imports(_resolved(spark, d), gone)
+
+
+@query("SELECT 's' || s_suppkey AS path, CAST(9 AS BIGINT) AS begins, CAST(9 + 3 AS BIGINT) AS ends FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 'n3', 9, 12")
+def t9_plan_rename(spark, d):
+    row = lambda df, path, target, reexport: df.select(path.alias("path"), F.lit("Foo").alias("name"), F.lit(None).cast("string").alias("alias"), target.alias("target"), F.lit(reexport).alias("reexport"), F.lit(9).alias("span_start"), F.lit(12).alias("span_end"))
+    names = row(t(spark, d, "nation"), F.concat(F.lit("n"), s("n_nationkey")), F.concat(F.lit("core"), s("n_nationkey")), True)
+    names = names.unionByName(row(t(spark, d, "supplier"), F.concat(F.lit("s"), s("s_suppkey")), F.concat(F.lit("n"), s("s_nationkey")), False))
+    return planning.plan_rename(names, "core3", "Foo", "Bar").select("path", F.col("begin").cast("long").alias("begins"), F.col("end").cast("long").alias("ends"))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = s_nationkey AND n_regionkey < 3) AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey)")
+def j9_relay(spark, d):
+    sup = t(spark, d, "supplier")
+    return sup.join(t(spark, d, "nation").where("n_regionkey < 3"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").join(t(spark, d, "customer"), F.col("c_nationkey") == F.col("s_nationkey"), "left_semi").select("s_suppkey")
+
+
+@query("SELECT s_nationkey AS nation, min(s_name) AS first FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey) GROUP BY s_nationkey")
+def j10_upstream(spark, d):
+    return t(spark, d, "supplier").join(t(spark, d, "customer"), F.col("c_nationkey") == F.col("s_nationkey"), "left_semi").groupBy(F.col("s_nationkey").alias("nation")).agg(F.min("s_name").alias("first"))
+
+
+@query("SELECT 'm' || o_orderkey AS new_path, 'o' || o_orderkey AS old_path FROM orders WHERE o_orderkey % 10 = 1")
+def j15_move_correlation(spark, d):
+    return _changes(spark, d)[1].where("change_type = 'move'").select("new_path", "old_path")
+
+
+@query("SELECT kind, name FROM (SELECT 'f' AS kind, 'f' || n_nationkey AS name FROM nation UNION ALL SELECT 'rs_declare', 'f' || n_nationkey FROM nation)")
+def u3_extractor_union(spark, d):
+    df = blobs(nations(spark, d), F.concat(F.lit("src/n"), s("n_nationkey"), F.lit(".rs")), F.concat(F.lit("fn f"), s("n_nationkey"), F.lit("() {}\n")))
+    ruled = rule(df, "fs(**/*.rs) > line(re:fn (?P<NAME>\\w+).*)", name="NAME").select(F.lit("f").alias("kind"), "name")
+    return ruled.unionByName(facts(df).select("kind", F.col("value").alias("name")))
+
+
+@query("SELECT p_brand AS check_name, count(*) AS n FROM part WHERE p_size > 45 GROUP BY p_brand")
+def k10_violation_list(spark, d):
+    rows = t(spark, d, "part").where("p_size > 45")
+    found = sinks.violations("size", rows.select("p_brand", "p_partkey"))
+    return found.groupBy(F.get_json_object("violation_data", "$.p_brand").alias("check_name")).agg(F.count("*").alias("n"))

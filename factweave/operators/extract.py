@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
-from ..plans.language import Program, Rule, levels
-from ..plans.patterns import compile_pattern
+from ..plans.language import Program, Rule, captures, levels, variables
+from ..plans.patterns import compile_pattern, line_pattern
 from .code import js_facts, rust_facts, structural
 from .regions import elements, heading_regions, line_matches, markers
 from .tree import load, walk
@@ -193,19 +193,12 @@ def tables(blobs: DataFrame, program: Program) -> dict[str, DataFrame]:
 
 
 def _own(rule: Rule) -> set[str]:
-    """Captures that the rule's own steps bind."""
+    """Captures that the rule's own steps bind, not only a reference."""
     bound = {v for _, b in rule.refs for v in b.values()}
-    from ..plans.language import variables
-
-    steps = [p for _, p in rule.context] + [str(rule.matcher or ""), rule.line or "", *rule.headings]
-    said = set(variables(" ".join(steps))) | _leaves(rule.matcher)
-    return {v for v in bound if v in said} | (set(rule.columns) - bound)
-
-
-def _leaves(x) -> set[str]:
-    if isinstance(x, tuple) and len(x) == 2 and x[0] in ("leaf", "capture") and isinstance(x[1], str):
-        return {x[1]}
-    return set().union(*map(_leaves, x)) if isinstance(x, list | tuple) else set()
+    kind, *of = rule.matcher or (None,)
+    said = variables(" ".join([p for _, p in rule.context] + rule.headings)) + (captures(of[0]) if kind == "json" else variables(of[0]) if of else [])
+    said += line_pattern(rule.line).names if rule.line else []
+    return (bound & set(said)) | (set(rule.columns) - bound)
 
 
 def views(blobs: DataFrame, program: Program, namespace: str = "") -> dict[str, DataFrame]:

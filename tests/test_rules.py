@@ -184,3 +184,18 @@ def test_facts_table(spark):
 def test_nested_markers():
     text = "// BEGIN a\n1\n// BEGIN b\n2\n// END\n3\n// END\n"
     assert [text[b:e].strip() for b, e in regions.markers(text, "BEGIN", "END")] == ["1\n// BEGIN b\n2\n// END\n3", "2"]
+
+
+def test_json_rules_equal_the_language():
+    rule = {"name": "r", "context": [["file", "**/*.json"]], "matcher": ["json", [["object", [[["exact", "packages"], [["object", [[["pattern", "$N@$V"], [["object", [[["exact", "tag"], [["leaf", "T"]]]]]]]]]]]]]]], "line": None}
+    program = language.from_json(json.dumps({"rules": [rule, {"name": "l", "line": "FROM $IMAGE:$TAG"}, {"name": "m", "matcher": ["md", "- $ITEM"]}]}))
+    assert [r.columns for r in program.rules] == [["N", "V", "T"], ["IMAGE", "TAG"], ["ITEM"]]
+    said = parse('rule(r) { fs(**/*.json) > json({ packages: { "$N@$V": { tag: $T } } }) };').rules[0]
+    assert program.rules[0].matcher == said.matcher
+    doc = '{"packages": {"express@4": {"tag": "x"}}}'
+    assert [{n: v for n, (v, *_) in c.items()} for c, _ in evaluate(program.rules[0], doc, "a.json", {}, {})] == [{"N": "express", "V": "4", "T": "x"}]
+
+
+def test_capture_filter_and_seeds():
+    assert rows("json({ image: $I }) > line($NAME:$TAG)", "a.json", '{"image": "nginx:1"}') == [("nginx:1", "nginx", "1")]
+    assert rows('json({ name: "$X", version: $V })', "a.json", '{"name": "a/b", "version": "1"}') == []
