@@ -61,7 +61,8 @@ def slots(src: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     plan = materialize(prefixed(plan, F.asc("src"), {"first_draw": "draws"}, "place", "mix-plan"), "mix-draws")
     total = plan.agg(F.sum("draws")).first()[0] or 0
     wide = plan.where("draws > 0").select("src", "blocks", "draws", "first_draw", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK))).alias("chunk"))
-    wide = wide.repartition("src", "chunk")
+    # The plan is tiny, what it unfolds to is not: the number of tasks follows the number of slots.
+    wide = wide.repartition(max(1, min(20_000, math.ceil(total / (16 * CHUNK)))), "src", "chunk")
     k = F.sequence(F.col("chunk") * CHUNK, F.least(F.col("draws"), (F.col("chunk") + 1) * CHUNK) - 1)
     each = wide.select("src", "blocks", "first_draw", F.explode(k).alias("k"))
     return each.select(
@@ -96,7 +97,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     cover = doc.select("*", F.explode_outer(held).alias("block"))
     words_in = F.least(end, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     cover = cover.withColumn("words", F.coalesce(words_in, F.lit(0)))
-    taken = cover.join(drawn, ["src", "block"], "left").groupBy("src", "part", "row", "doc_id", "size", "source_size", "target")
+    # Both sides come from unfolding small tables, whose size estimates say nothing: never broadcast them.
+    taken = cover.join(drawn.hint("merge"), ["src", "block"], "left").groupBy("src", "part", "row", "doc_id", "size", "source_size", "target")
     return taken.agg(F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
