@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-MEMO = 400_000
+MEMO = 120_000
 
 
 class Codec:

@@ -24,7 +24,7 @@ SAMPLE, DIM, RANK, EPOCHS, RATE = 8000, 1 << 16, 8, 6, 0.1
 BINS = np.array([0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
 PARTS, KINDS, STATS = 8, 9, 32
 WIDTH = DIM + STATS * 16
-_MEMO = 400_000
+_MEMO = 150_000
 
 _KIND = np.full(256, 8, np.int64)
 for _k, _chars in enumerate([bytes(range(97, 123)), bytes(range(65, 91)), b" \t\r\n\x0b\x0c", b"0123456789", b".,;:?'\"-()", b"!", b"#$%&*@^~", b"|"]):

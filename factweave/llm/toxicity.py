@@ -31,7 +31,7 @@ SAMPLE, ENTRIES = 8000, 5000
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 BREAKS = frozenset(".!?;\n")
 FORMS = (4, 5, 6, 7)
-_MEMO = 400_000
+_MEMO = 150_000
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 # Closed word classes of the grammar.
