@@ -9,8 +9,8 @@ Equal sets collapse to one representative first. Bands only gather candidate clu
 to its least one, and connected components of these links hold every candidate pair. Links are then confirmed on
 full sets (64-bit shingle hashes) inside each cluster: an inverted index over the cluster's shingles gives all exact
 intersections without listing pairs, and only links that join two components are returned. A cluster above BLOCK_DOCS
-is cut into blocks, and every pair of blocks is a group of its own, so no task holds more than two blocks and no pair
-is lost. Components run by repeated least-neighbour steps with pointer jumping, each round written to shared storage.
+documents or BLOCK_SHINGLES shingles is cut into blocks, and every pair of blocks is a group of its own, so no task
+holds more than two blocks and no pair is lost. Components run by repeated least-neighbour steps with pointer jumping, each round written to shared storage.
 
 Edge cases: null, empty or all-white texts have the empty set and link with nothing, also not with each other; texts
 with fewer words than a shingle are one shingle; a null id is treated as the lowest id; repeated rows share a class;
@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, WORD, materialize, table
 
 ROWS, BANDS = 8, 64
-BLOCK_DOCS = 2000
+#: A block of a candidate cluster holds about so many documents and so many shingles at most.
+BLOCK_DOCS, BLOCK_SHINGLES = 2000, 500_000
 _LOW = str.maketrans(UPPER, LOWER)
-_MEMO = 500_000
+_MEMO = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -176,13 +177,14 @@ def classes(docs: DataFrame, words: int = 3, share: int = 85, rows: int = ROWS,
     """doc_id, n_shingles, component_id, kept. share: least similarity in hundredths."""
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     signed = materialize(signatures(plain, words, rows, bands), "near-signed")
-    reps = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    reps = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     reps = materialize(reps, "near-classes")
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     heads = materialize(keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head"), "near-heads")
     edges = keyed.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
     clusters = components(materialize(edges, "near-edges"), "near-candidates")
-    links = confirmed(plain, clusters, words, share)
+    sized = clusters.join(reps.select("rep", "n"), F.col("id") == F.col("rep")).select("id", "root", "n")
+    links = confirmed(plain, sized, words, share)
     groups = components(materialize(links, "near-links"), "near")
     label = reps.select("digest", "rep").join(groups, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     label = materialize(label, "near-labels")
@@ -192,9 +194,10 @@ def classes(docs: DataFrame, words: int = 3, share: int = 85, rows: int = ROWS,
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, words: int, share: int) -> DataFrame:
-    """Confirmed links (a, b) that span the similarity graph inside each candidate cluster."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    sizes = materialize(sizes.withColumn("blocks", F.ceil(F.col("m") / BLOCK_DOCS).cast("int")), "near-sizes")
+    """Confirmed links (a, b) that span the similarity graph inside each candidate cluster (id, root, n shingles)."""
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("all") / BLOCK_SHINGLES)).cast("int")
+    sizes = materialize(sizes.select("root", blocks.alias("blocks")), "near-sizes")
     member = materialize(clusters.join(sizes, "root").select("id", "root", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")), "near-members")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
     texts = docs.join(member, F.col("doc_id") == F.col("id")).select("id", "root", "block", F.explode(pairs).alias("pair"), "text")
