@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factweave.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from factweave.llm.common import materialize, table
+from factweave.shipping import ship
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -17,6 +19,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return near_dedup.keep_one(docs)
 
 
@@ -25,6 +28,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return bpe.encode_column(docs, *bpe.vocabulary(), digests=True)
 
 
