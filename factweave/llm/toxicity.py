@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, materialize, table
+from .near_dedup import shingles
 from .quality import training
 
-SAMPLE, ENTRIES = 8000, 5000
+SAMPLE, ENTRIES, LEAST = 8000, 5000, 4.0
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 BREAKS = frozenset(".!?;\n")
 FORMS = (4, 5, 6, 7)
@@ -151,7 +152,7 @@ def lexicon(rows: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
         part = lambda k, p: F.when(k > 0, k * F.log(k / (both * p))).otherwise(0.0)
         ratio = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
         strong = counts.where("term <> '' AND a >= 3").select("term", ratio.alias("w"), (part(a, share) + part(b, 1 - share)).alias("g"))
-        strong = strong.where((F.col("w") > 2.5) & (F.col("g") > float(np.log(max(1, candidates)) + 1))).orderBy(F.desc("g"), "term").limit(entries)
+        strong = strong.where((F.col("w") > LEAST) & (F.col("g") > float(np.log(max(1, candidates)) + 1))).orderBy(F.desc("g"), "term").limit(entries)
         found = {r["term"]: r["w"] for r in strong.collect()}
         # Whole words that clean rows use, too, though a marked beginning covers them.
         starts = sorted(t for t in found if not t.endswith("$"))
@@ -164,9 +165,26 @@ def lexicon(rows: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
         counts.unpersist()
 
 
+def unlike(rows: DataFrame) -> DataFrame:
+    """One of the rows that share their least hash of three words and their label, so near copies do not count as evidence."""
+
+    def run(batches):
+        memo: dict[str, int] = {}
+        for batch in batches:
+            least = [int(own.view(np.int64).min()) if len(own := shingles(t.as_py(), 3, memo)) else 0 for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), *batch.columns], names=["k", "l_id", "text", "y"])
+
+    keyed = rows.select(F.col("l_id").cast("long"), "text", "y").mapInArrow(run, "k long, l_id long, text string, y int")
+    return keyed.groupBy("k", "y").agg(F.min_by("text", "l_id").alias("text")).select("text", "y")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
-    rows = training(docs, labels, "toxic", sample)
+    every = materialize(training(docs, labels, "toxic", sample).select("l_id", "text", "y"), "toxic-sample")
+    rows = materialize(unlike(every), "toxic-unlike")
     words = lexicon(rows)
+    if not words:  # too few unlike rows to rule out chance: copies count as well
+        rows = every
+        words = lexicon(rows)
 
     def run(batches):
         own = Grammar(words)
