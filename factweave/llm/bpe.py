@@ -18,6 +18,7 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-MEMO = 120_000
+MEMO = 100_000
 
 
 class Codec:
@@ -35,74 +36,80 @@ class Codec:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.find = regex.compile(pattern).findall
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.usable = set()
-        self.judged: dict[tuple[int, int], bool] = {}
+        self.left_of, self.right_of = [0] * (max(self.bytes_of) + 1), [0] * (max(self.bytes_of) + 1)
+        self.pairs: dict[int, int] = {}  # left << 24 | right -> the token they join to
+        self.usable: dict[bytes, int] = {}  # tokens that merging can reach
+        self.judged: dict[int, bool] = {}
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self._learn()
+        self.ends = ahocorasick.Automaton()
+        for token, rank in self.usable.items():
+            self.ends.add_word(token.decode("latin-1"), (len(token), rank))
+        self.ends.make_automaton()
 
     def _learn(self) -> None:
         """How each token comes from two lower ones. In order of rank, so that the halves are known already."""
         for rank in sorted(self.bytes_of):
             token = self.bytes_of[rank]
             if len(token) == 1:
-                self.halves[rank] = (rank, rank)
-                self.usable.add(rank)
+                self.left_of[rank] = self.right_of[rank] = rank
+                self.usable[token] = rank
                 continue
             for cut in range(1, len(token)):
-                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
-                if left is None or right is None or left >= rank or right >= rank or left not in self.usable or right not in self.usable:
-                    continue
-                if self.agrees(left, right, rank):
-                    self.halves[rank], self.pairs[left, right] = (left, right), rank
-                    self.usable.add(rank)
+                left, right = self.usable.get(token[:cut]), self.usable.get(token[cut:])
+                if left is not None and right is not None and self.agrees(left, right, rank):
+                    self.left_of[rank], self.right_of[rank] = left, right
+                    self.pairs[left << 24 | right] = rank
+                    self.usable[token] = rank
                     break
 
     def agrees(self, left: int, right: int, below: int | None = None) -> bool:
         """Whether merging leaves the border between the two tokens uncrossed. below: only merges of lower rank count."""
         limit = below if below is not None else 1 << 62
+        pairs, left_of, right_of = self.pairs, self.left_of, self.right_of
         while True:
-            joined = self.pairs.get((left, right))
+            joined = pairs.get(left << 24 | right)
             if joined is not None and joined < limit:
                 return False
             # Take back the later of the two merges; the half at the border is what stood there before it.
             if left > right:
-                limit, inner = left, self.halves[left][1]
+                limit, inner = left, right_of[left]
                 if inner == left:
                     return True
                 left = inner
             else:
-                limit, inner = right + 1, self.halves[right][0]
+                limit, inner = right + 1, left_of[right]
                 if inner == right:
-                    if left < 0 or self.halves[left][1] == left:
+                    inner = right_of[left]
+                    if inner == left:
                         return True
-                    limit, left = left, self.halves[left][1]
-                    continue
-                right = inner
+                    limit, left = left, inner
+                else:
+                    right = inner
 
     def last_tokens(self, piece: bytes, known: list[int] | None = None) -> list[int]:
         """The last token of each prefix's encoding. known: that of a prefix of `piece`, kept and extended."""
-        last, ranks, halves, judged = list(known or ()), self.ranks, self.usable, self.judged
-        for end in range(len(last) + 1, len(piece) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                rank = ranks.get(piece[begin:end])
-                if rank is None or rank not in halves:
-                    continue
-                if begin == 0:
-                    last.append(rank)
-                    break
-                pair = last[begin - 1], rank
+        last, judged, agrees = list(known or ()), self.judged, self.agrees
+        done = len(last)
+        # All tokens that end at each byte, the longest first. Bytes stand for the characters of the same number.
+        for at, (size, rank) in self.ends.iter(piece.decode("latin-1")):
+            if at < done:
+                continue
+            if at == size - 1:
+                good = True
+            else:
+                pair = last[at - size] << 24 | rank
                 good = judged.get(pair)
                 if good is None:
-                    good = self.agrees(*pair)
+                    good = agrees(last[at - size], rank)
                     if len(judged) < MEMO:
                         judged[pair] = good
-                if good:
-                    last.append(rank)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+            if good:
+                last.append(rank)
+                done = at + 1
+        if done < len(piece):
+            raise ValueError("the vocabulary lacks a byte")
         return last
 
     def read_off(self, last: list[int]) -> list[int]:
@@ -127,9 +134,12 @@ class Codec:
         for piece in self.find(text):
             got = memo.get(piece)
             if got is None:
-                got = self.encode_piece(piece)
-                if len(memo) >= MEMO:
-                    memo.clear()
+                got = self.older.get(piece)
+                if got is None:
+                    got = self.encode_piece(piece)
+                if len(memo) >= MEMO:  # what is in use comes over from the older half
+                    self.older, self.memo = memo, {}
+                    memo = self.memo
                 memo[piece] = got
             ids += got
         return ids
