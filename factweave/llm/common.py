@@ -30,10 +30,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+ROWS_A_FILE = 1_000_000
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    rows: about how many narrow rows there are; they then go to files of ROWS_A_FILE rows, eight files at least, where
+    the shuffle before would leave a small file per partition.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // ROWS_A_FILE)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

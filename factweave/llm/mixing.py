@@ -39,9 +39,10 @@ def permuted(x, n, *seed):
 
 def targets(sizes: DataFrame, weights=(1, 2, 3), most: int = MOST) -> DataFrame:
     """source, source_size, src (rank by code point, null last), target: shares by weight, at most `most` sizes each."""
+    n = sizes.count()
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     src = prefixed(per, F.asc_nulls_last("source"), {}, "src", "mix-sources")
-    src = materialize(src.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("src") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * most), "mix-weights")
+    src = materialize(src.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("src") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * most), "mix-weights", n)
     total = src.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
     while True:  # sources above their limit stop there, the rest share what is left by weight
@@ -58,7 +59,7 @@ def slots(src: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     blocks = F.ceil(F.col("source_size") / block)
     plan = src.where("source_size > 0").withColumn("blocks", blocks)
     plan = plan.withColumn("draws", F.round(F.col("target") / F.col("source_size") * F.col("blocks")).cast("long"))
-    plan = materialize(prefixed(plan, F.asc("src"), {"first_draw": "draws"}, "place", "mix-plan"), "mix-draws")
+    plan = materialize(prefixed(plan, F.asc("src"), {"first_draw": "draws"}, "place", "mix-plan"), "mix-draws", src.count())
     total = plan.agg(F.sum("draws")).first()[0] or 0
     wide = plan.where("draws > 0").select("src", "blocks", "draws", "first_draw", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK))).alias("chunk"))
     # The plan is tiny, what it unfolds to is not: the number of tasks follows the number of slots.
@@ -77,7 +78,7 @@ def spans(sizes: DataFrame, src: DataFrame, n: int) -> DataFrame:
     """doc_id, source's figures, size, start: where the document's words begin in its source's stream; row: unique there."""
     parts = max(1, math.isqrt(n))
     at = sizes.join(src.select(F.col("source").alias("s_"), "source_size", "src", "target"), F.col("source").eqNullSafe(F.col("s_"))).drop("s_", "source")
-    at = materialize(at.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))), "mix-sized")
+    at = materialize(at.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))), "mix-sized", n)
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = at.groupBy("src", "part").agg(F.sum("size").alias("t_")).select("src", "part", F.coalesce(F.sum("t_").over(before), F.lit(0)).alias("b_"))
     inside = Window.partitionBy("src", "part").orderBy("doc_id", "size")
@@ -89,9 +90,10 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     """Per document: doc_id, size, source_size, target, taken (words of the mix that are its own, repeats counted)."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     sizes = materialize(docs.select("doc_id", "source", words.alias("size")), "mix-sizes")
-    src = materialize(targets(sizes), "mix-targets")
+    n = sizes.count()
+    src = materialize(targets(sizes), "mix-targets", n)
     drawn = slots(src, block, shard, seed).groupBy("src", "block").agg(F.count("*").alias("times"))
-    doc = spans(sizes, src, sizes.count())
+    doc = spans(sizes, src, n)
     end = F.col("start") + F.col("size")
     held = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block)))
     cover = doc.select("*", F.explode_outer(held).alias("block"))

@@ -120,13 +120,14 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
 
 def components(links: DataFrame, tag: str, most: int = 60) -> DataFrame:
     """id, root (least id reachable) of every node of the links (a, b)."""
-    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-links")
-    label = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "id"), f"{tag}-label")
+    n = 2 * links.count()
+    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-links", n)
+    label = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "id"), f"{tag}-label", n)
     for _ in range(most):
         near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("near"))
         step = label.join(near, F.col("id") == F.col("a")).select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = label.select(F.col("id").alias("j"), F.col("root").alias("jump"))
-        moved = materialize(step.join(jump, F.col("root") == F.col("j")).select("id", "old", F.least("root", "jump").alias("root")), f"{tag}-step")
+        moved = materialize(step.join(jump, F.col("root") == F.col("j")).select("id", "old", F.least("root", "jump").alias("root")), f"{tag}-step", n)
         label = moved.select("id", "root")
         if moved.where("root <> old").isEmpty():
             return label
@@ -178,16 +179,17 @@ def classes(docs: DataFrame, words: int = 3, share: int = 85, rows: int = ROWS,
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     signed = materialize(signatures(plain, words, rows, bands), "near-signed")
     reps = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    reps = materialize(reps, "near-classes")
+    n = signed.count()
+    reps = materialize(reps, "near-classes", 16 * n)
     keyed = reps.select("rep", F.explode("keys").alias("key"))
-    heads = materialize(keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head"), "near-heads")
+    heads = materialize(keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head"), "near-heads", bands * n)
     edges = keyed.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = components(materialize(edges, "near-edges"), "near-candidates")
+    clusters = components(materialize(edges, "near-edges", bands * n), "near-candidates")
     sized = clusters.join(reps.select("rep", "n"), F.col("id") == F.col("rep")).select("id", "root", "n")
     links = confirmed(plain, sized, words, share)
     groups = components(materialize(links, "near-links"), "near")
     label = reps.select("digest", "rep").join(groups, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
-    label = materialize(label, "near-labels")
+    label = materialize(label, "near-labels", n)
     out = signed.select("doc_id", "n", "digest").join(label, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -197,8 +199,9 @@ def confirmed(docs: DataFrame, clusters: DataFrame, words: int, share: int) -> D
     """Confirmed links (a, b) that span the similarity graph inside each candidate cluster (id, root, n shingles)."""
     sizes = clusters.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("all") / BLOCK_SHINGLES)).cast("int")
-    sizes = materialize(sizes.select("root", blocks.alias("blocks")), "near-sizes")
-    member = materialize(clusters.join(sizes, "root").select("id", "root", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")), "near-members")
+    n = clusters.count()
+    sizes = materialize(sizes.select("root", blocks.alias("blocks")), "near-sizes", n)
+    member = materialize(clusters.join(sizes, "root").select("id", "root", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")), "near-members", n)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
     texts = docs.join(member, F.col("doc_id") == F.col("id")).select("id", "root", "block", F.explode(pairs).alias("pair"), "text")
     dealt = texts.select("id", "root", "block", "pair.x", "pair.y", "text")
