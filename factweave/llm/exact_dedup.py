@@ -88,7 +88,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, all columns as they were."""
     keep = build_index(docs).select(F.col("keep_id").alias("k_"), F.col("sha").alias("s_"))
     sha = F.sha2(ascii_lower(docs["text"]).cast("binary"), 256)
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["k_"]) & (sha == keep["s_"]), "left_semi")
+    return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["k_"]) & (sha == keep["s_"]), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
 def take(docs: DataFrame) -> DataFrame:
     """The documents that the mix draws from, all columns as they were."""
     drawn = mix(docs).where("taken > 0").select(F.col("doc_id").alias("d_")).distinct()
-    return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["d_"]), "left_semi")
+    return docs.join(drawn.hint("merge"), docs["doc_id"].eqNullSafe(drawn["d_"]), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

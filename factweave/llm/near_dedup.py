@@ -220,7 +220,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, words: int, share: int) -> D
 def keep_one(docs: DataFrame, words: int = 5, share: int = 80, rows: int = 7, bands: int = BANDS) -> DataFrame:
     """The documents that stay, one of each group, all columns as they were."""
     kept = classes(docs, words, share, rows, bands).where("kept").select(F.col("doc_id").alias("k_")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["k_"]), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is at least 0.5, all columns as they were."""
     good = score(docs, fit(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("g_")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["g_"]), "left_semi")
+    return docs.join(good.hint("merge"), docs["doc_id"].eqNullSafe(good["g_"]), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
