@@ -192,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
             x = [own.figures(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in x], pa.float64()), pa.array([q for _, q in x], pa.float64()), batch.column(1)], names=["p", "q", "y"])
 
-    got = rows.select("text", "y").mapInArrow(run, "p double, q double, y int").orderBy("p", "q", "y").toArrow()
+    got = rows.select("text", "y").mapInArrow(run, "p double, q double, y int").toArrow()
+    got = got.sort_by([("p", "ascending"), ("q", "ascending"), ("y", "ascending")])
     y = got["y"].to_numpy().astype(float) if len(got) else np.zeros(0)
     x = np.column_stack([np.ones(len(y)), got["p"].to_numpy(), got["q"].to_numpy()]) if len(y) else np.zeros((0, 3))
     constants = np.zeros(3)
