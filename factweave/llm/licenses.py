@@ -1,8 +1,10 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits only) and mapped to the identifier of
-a known licence sentence. The identifiers, in order, form the document's sequence, and a licence is found where one of
-its ordered rules matches a run of that sequence. Both tables are fixed and small; everything stays in the JVM.
+A text is cut into sentences at .!? before white space and at blank lines, and normalised (lower case, letters and
+digits only, so that line breaks, comment marks and commas are spaces). Known licence sentences are looked for where a
+sentence or a line begins, also over several lines; they need not be the whole sentence, and one may follow another
+within it. Their identifiers, in order, form the document's sequence, and a licence is found where one of its ordered
+rules matches a run of that sequence. Both tables are fixed and small; everything stays in the JVM.
 
 Edge cases: null or empty text has no sentences and no licences; sentences may be of any length; repeated rows are
 reported each; an empty table gives an empty result; extra columns are ignored.
@@ -52,20 +54,29 @@ RULES = {
     "CC-BY-SA-4.0": [["cc-by-sa-4.0-grant"]],
     "Proprietary": [["rights-reserved"]],
 }
-CUT = r"[.!?;:,]+[ \t\r\n]+|\n+"
+#: Wordings of the licences' own texts beside SENTENCES, which the SQL twin is made of.
+WORDINGS = {
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-endorse",
+}
+CUT = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n\s*"
+#: Marks in the normalised text: a sentence begins, a line begins.
+SENTENCE, LINE = "\x01", "\x02"
 #: A run of identifiers may hold nothing else between them.
 
 
-def recognise(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict[str, list[list[str]]] = RULES) -> DataFrame:
+def recognise(docs: DataFrame, sentences: dict[str, str] = SENTENCES | WORDINGS, rules: dict[str, list[list[str]]] = RULES) -> DataFrame:
     """doc_id, n_sentences, sequence (identifiers, by comma), licenses (names, by comma)."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    norm = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " "))
-    # Only fragments that could be known are normalised: the rest is told by length.
-    most = 2 * max(map(len, sentences))
-    cut = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), CUT), lambda s: F.trim(s) != "")
-    held = docs.select("doc_id", cut.alias("cut"))
-    ids = F.filter(F.transform(F.filter("cut", lambda s: F.length(s) <= most), lambda s: F.element_at(known, norm(s))), lambda x: x.isNotNull())
-    held = held.select("doc_id", F.size("cut").cast("long").alias("n_sentences"), F.array_join(ids, ",").alias("sequence"))
+    gap = f"[ {LINE}]+"
+    longest = "|".join(s.replace(" ", gap) for s in sorted(sentences, key=len, reverse=True))
+    # \G: right after the known sentence before. A number may stand before the items of a list.
+    begins = rf"(?:\G|[{SENTENCE}{LINE}])[ {LINE}]*(?:[0-9]+ )?({longest})(?![a-z0-9])"
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = F.regexp_replace(F.translate(F.lower(text), SENTENCE + LINE, "  "), CUT, SENTENCE)
+    plain = F.regexp_replace(F.translate(marked, "\n", LINE), f"[^a-z0-9{SENTENCE}{LINE}]+", " ")
+    ids = F.transform(F.regexp_extract_all(plain, F.lit(begins), F.lit(1)), lambda s: F.element_at(known, F.regexp_replace(s, gap, " ")))
+    count = F.size(F.filter(F.split(text, CUT), lambda s: F.trim(s) != "")).cast("long")
+    held = docs.select("doc_id", count.alias("n_sentences"), F.array_join(ids, ",").alias("sequence"))
     padded = F.concat(F.lit(","), "sequence", F.lit(","))
     names = []
     for name in sorted(rules):

@@ -219,6 +219,55 @@ def test_licences_need_ordered_sentences(spark):
     assert got == {1: "MIT", 2: "Apache-2.0", 3: "", 4: "", 5: ""}
 
 
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2) Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licences_of_real_notices(spark):
+    texts = {
+        "Apache-2.0": [APACHE, "Some | row |\nLicensed under the Apache License, Version 2.0."],
+        "GPL-3.0": [GPL.format(3), "Text.\nThis work is licensed under the GNU General Public License, version 3."],
+        "GPL-2.0": [GPL.format(2)],
+        "MIT": [MIT],
+        "BSD-2-Clause": [BSD],
+        "BSD-2-Clause,BSD-3-Clause": [BSD + ENDORSE],
+        "": ["It is not licensed under the Apache License, Version 2.0.", "Released under the MIT Licenses."],
+    }
+    rows = [(name, text) for name, some in texts.items() for text in some]
+    got = {r.doc_id: r.licenses for r in licenses.recognise(docs_of(spark, [(i, text, None) for i, (_, text) in enumerate(rows)])).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(600, 16)) * rng.uniform(0.5, 2, size=(600, 1))
