@@ -5,7 +5,9 @@ shards of SHARD slots. Each shard's source counts are a multinomial draw conditi
 permutation of all slots deals out exactly the number of slots that each source's target asks for, since free
 multinomial totals stray by their square root and pass the three-fold limit. A source's k-th slot takes block
 perm(k mod blocks), perm being the source's own permutation, so a block comes again only once all have been used.
-Both permutations are swap-or-not networks, exact on any size and computed without state: reruns agree.
+Documents stand in the stream in the order of a hash, and the last, incomplete round permutes only the first blocks of
+the stream: a document is drawn whole or not at all in it, but for those at its end. take() can thus give out whole
+documents in the same shares. Both permutations are swap-or-not networks, exact on any size and computed without state: reruns agree.
 
 Native: DataFrame functions only. Prefix sums run in two levels of about sqrt(rows) rows each, so that a source with
 a third of all rows is dealt over many tasks, and a long document's blocks are rows of their own.
@@ -65,12 +67,15 @@ def slots(src: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     # The plan is tiny, what it unfolds to is not: the number of tasks follows the number of slots.
     wide = wide.repartition(max(1, min(20_000, math.ceil(total / (16 * CHUNK)))), "src", "chunk")
     k = F.sequence(F.col("chunk") * CHUNK, F.least(F.col("draws"), (F.col("chunk") + 1) * CHUNK) - 1)
-    each = wide.select("src", "blocks", "first_draw", F.explode(k).alias("k"))
+    each = wide.select("src", "blocks", "draws", "first_draw", F.explode(k).alias("k"))
+    at = F.col("k") % F.col("blocks")
+    # The blocks of this round: all, or in the last one the first of the stream.
+    among = F.least("blocks", F.col("draws") - F.col("k") + at)
     return each.select(
         permuted(F.col("first_draw") + F.col("k"), F.lit(total).cast("long"), F.lit(seed), F.lit(-1)).alias("slot"),
         "src",
         F.floor(F.col("k") / F.col("blocks")).alias("epoch"),
-        permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("src")).alias("block"),
+        permuted(at, among, F.lit(seed), F.col("src")).alias("block"),
     ).withColumn("shard", F.floor(F.col("slot") / shard))
 
 
@@ -81,7 +86,7 @@ def spans(sizes: DataFrame, src: DataFrame, n: int) -> DataFrame:
     at = materialize(at.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))), "mix-sized", n)
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = at.groupBy("src", "part").agg(F.sum("size").alias("t_")).select("src", "part", F.coalesce(F.sum("t_").over(before), F.lit(0)).alias("b_"))
-    inside = Window.partitionBy("src", "part").orderBy("doc_id", "size")
+    inside = Window.partitionBy("src", "part").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "size")
     own = at.withColumn("row", F.row_number().over(inside)).withColumn("o_", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return own.join(base, ["src", "part"]).withColumn("start", F.col("b_") + F.col("o_")).drop("b_", "o_")
 
@@ -105,9 +110,18 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The documents that the mix draws from, all columns as they were."""
-    drawn = mix(docs).where("taken > 0").select(F.col("doc_id").alias("d_")).distinct()
-    return docs.join(drawn.hint("merge"), docs["doc_id"].eqNullSafe(drawn["d_"]), "left_semi")
+    """The documents that the mix draws from, all columns as they were, each as often as it is drawn.
+
+    The words given out for a source meet its target within a document and a block.
+    """
+    often = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("long")
+    drawn = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("d_"), F.col("size").alias("s_")).agg(F.sum(often).alias("often_"), F.count("*").alias("rows_"))
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    held = docs.withColumn("w_", words).join(drawn.hint("merge"), docs["doc_id"].eqNullSafe(F.col("d_")) & (F.col("w_") == F.col("s_")))
+    # Rows of one id and size share their draws.
+    nth = F.row_number().over(Window.partitionBy("d_", "s_").orderBy(F.lit(0)))
+    held = held.withColumn("n_", F.expr("often_ div rows_") + (nth <= F.expr("often_ % rows_")).cast("long")).where("n_ > 0")
+    return held.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "n_")).alias("n_")).drop("n_")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -74,6 +74,22 @@ def test_mix_meets_targets_and_limits(spark):
     assert [r.taken for r in mixing.mix(docs_of(spark, [(1, None, None)])).collect()] == [0]
 
 
+def test_take_gives_out_the_target_shares(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join([f"w{i}"] * rng.randint(1, 400)), rng.choice(["a"] * 8 + ["b", "c", None])) for i in range(600)] + [(5, "x y", "b"), (None, "u v w", "c"), (None, "u v w", "c")]
+    docs = docs_of(spark, rows)
+    target, out = {}, {}
+    for r in mixing.targets(docs.select("source", F.size(F.split("text", " ")).cast("long").alias("size"))).collect():
+        target[r.source] = r.target
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns
+    for r in taken.collect():
+        out[r.source] = out.get(r.source, 0) + len(r.text.split())
+    for source, words in target.items():
+        assert abs(out[source] - words) <= 400 + mixing.BLOCK
+    assert sorted(map(str, taken.collect())) == sorted(map(str, mixing.take(docs).collect()))
+
+
 def test_chat_round_trip_and_layouts(spark):
     texts = ["<|im_end|>", "<\\|x|>", "<\\\\|", "plain\n\n<", None, "", "a" * 100_000, "é🙂"]
     rows = [(i, t, r, x) for i in range(3) for t, (r, x) in enumerate(zip(["user", "assistant", "sys\\n\ntem", None] * 2, texts, strict=True))]
