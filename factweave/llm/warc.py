@@ -10,6 +10,10 @@ gzip archives are read in order, so a false cut is mended from the next fragment
 decoded where they are read. Segments are grouped by origin, ordered by number, checked for gaps and against the total
 length, joined, and only then unchunked. A record that fails a check is returned with complete = false, never dropped.
 
+Every record has an id of its own: <urn:page:ID> where one page has the id, else <urn:page:ID:PAYLOAD:ROW> with the
+beginning of the payload's SHA-256 and a key of the row (task and row in it). A revisit of a payload whose page id is
+shared names <urn:page:ID:PAYLOAD>, the common beginning of the ids of all equal responses.
+
 Pages with equal payloads (SHA-256) of at least `least` bytes: the largest id is the response, the others revisit it.
 
 Edge cases: null html is an empty payload; empty payloads are equal to each other if `least` is 0; a null url is left out
@@ -23,6 +27,7 @@ import base64
 import hashlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,9 +82,9 @@ def _record(kind: str, fields: list[tuple[str, object]], block: bytes) -> bytes:
     return MARK + head.encode() + b"\r\n" + block
 
 
-def page_records(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool, segment: int = SEGMENT):
-    """The records of one page, in order."""
-    own = f"<urn:page:{'' if page_id is None else page_id}>"
+def page_records(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool, segment: int = SEGMENT, row: str = ""):
+    """The records of one page, in order. row: what tells the page from others with its id, after a colon."""
+    own = f"<urn:page:{'' if page_id is None else page_id}{row}>"
     uri = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
     common = [("WARC-Target-URI", uri), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -100,28 +105,41 @@ def page_records(page_id, url, payload: bytes, digest: str, refers_to, revisit:
 
 
 def decide(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, key (of the row), refers_to (null for responses): from digests alone, hot payloads pre-aggregated."""
+    """page_id, sha (the payload's) of pages that are revisits or share their id: refers_to (null for responses), shared,
+    refers_shared (whether several pages have the id); from digests alone, hot payloads pre-aggregated."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keys = materialize(pages.select("page_id", F.sha2(payload, 256).alias("sha"), F.octet_length(payload).alias("n")), "warc-digests")
-    equal = keys.where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("m")).where("m > 1")
-    equal = materialize(equal.select("sha", "keep"), "warc-equal")
-    mine = keys.where(F.col("n") >= least).join(equal, "sha").where(~F.col("page_id").eqNullSafe(F.col("keep")))
-    return mine.select(F.col("page_id").alias("revisit_id"), F.col("keep").alias("refers_to")).distinct()
+    keys = pages.select(F.col("page_id").cast("long"), F.sha2(payload, 256).alias("sha"), F.octet_length(payload).alias("n"))
+    keys = materialize(keys.groupBy("page_id", "sha", "n").agg(F.count("*").alias("rows")), "warc-digests")
+    ids = keys.groupBy("page_id").agg(F.sum("rows").alias("m")).where("m > 1")
+    ids = materialize(ids.select(F.col("page_id").alias("id_"), F.lit(True).alias("many_")), "warc-ids")
+    equal = keys.where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("keep"), F.sum("rows").alias("m")).where("m > 1")
+    equal = equal.join(ids, F.col("keep") == F.col("id_"), "left").select(F.col("sha").alias("sha_"), "keep", F.col("many_").isNotNull().alias("refers_shared"))
+    equal = materialize(equal, "warc-equal")
+    mine = keys.join(equal, (F.col("sha") == F.col("sha_")) & (F.col("n") >= least), "left").join(ids, F.col("page_id").eqNullSafe(F.col("id_")), "left")
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep"))
+    mine = mine.select("page_id", "sha", refers_to.alias("refers_to"), F.col("many_").isNotNull().alias("shared"), F.coalesce("refers_shared", F.lit(False)).alias("refers_shared"))
+    return mine.where("refers_to IS NOT NULL OR shared")
 
 
 def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -> None:
     """Write a record per page (segments: several) as gzip text files of whole records."""
-    revisits = decide(pages, least)
+    found = decide(pages, least).withColumnsRenamed({"page_id": "id_", "sha": "sha_"})
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.join(revisits, rows["page_id"].eqNullSafe(revisits["revisit_id"]), "left")
-    rows = rows.select("page_id", "url", "payload", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
+    rows = rows.withColumn("sha", F.sha2("payload", 256))
+    rows = rows.join(found, rows["page_id"].eqNullSafe(found["id_"]) & (F.col("sha") == F.col("sha_")), "left")
+    begin = F.concat(F.lit(":"), F.substring("sha", 1, 16))
+    target = F.concat(F.col("refers_to").cast("string"), F.when(F.col("refers_shared"), begin).otherwise(""))
+    rows = rows.select("page_id", "url", "payload", target.alias("refers_to"), F.col("refers_to").isNotNull().alias("revisit"), F.when(F.col("shared"), begin).alias("begin"))
 
     def run(batches):
+        task, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             out, held = [], 0
-            for page_id, url, payload, refers_to, revisit in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            for page_id, url, payload, refers_to, revisit, begin in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 digest = base32(hashlib.sha1(payload).digest())
-                for record in page_records(page_id, url, payload, digest, refers_to, revisit, segment):
+                at += 1
+                row = "" if begin is None else f"{begin}:{task}-{at}"
+                for record in page_records(page_id, url, payload, digest, refers_to, revisit, segment, row):
                     out.append(record)
                     held += len(record)
                 if held > 8_000_000:
@@ -146,13 +164,16 @@ def whole_records(fragments):
         if fragment.startswith(MARK):  # a file begins
             held, fragment = b"", fragment[len(MARK) :]
         held = held + CUT.encode() + fragment if held else fragment
-        head, gap, block = held.partition(SEPARATOR.encode())
-        fields = _fields(head)
-        length = int(fields.get("content-length", "-1")) if fields.get("content-length", "").isdigit() else -1
-        if gap and len(block) < length:
-            continue  # a payload held the separator
-        held = b""
-        yield fields, block[:length] if length >= 0 else block
+        while held:
+            head, gap, block = held.partition(SEPARATOR.encode())
+            fields = _fields(head)
+            length = int(fields.get("content-length", "-1")) if fields.get("content-length", "").isdigit() else -1
+            if gap and len(block) < length:
+                break  # a payload held the separator
+            rest = block[length:] if length >= 0 else b""
+            # The reader may pass over a separator at the end of its buffer: the next record is then still here.
+            held = rest[len(CUT) :] if rest.startswith(CUT.encode()) else b""
+            yield fields, block[:length] if length >= 0 else block
 
 
 SEGMENTS = "origin string, number long, total long, type string, digest string, refers_to string, length long, block binary, payload_bytes long, payload_digest string, complete boolean"
@@ -219,7 +240,7 @@ def read(spark, path: str) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)(?::[^>]*)?>$", 1).try_cast("long")
     return read(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "complete")
 
 

@@ -148,6 +148,29 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r.record_type, r.refers_to) == {1: ("revisit", "<urn:page:7>"), 2: ("revisit", "<urn:page:7>"), 3: ("revisit", "<urn:page:4>")}.get(i, ("response", None))
 
 
+def test_warc_keeps_pages_that_share_an_id_apart(spark):
+    long, other = "a" * 90_000, "b" * 90_000
+    rows = [(1, "u", long), (1, "u", long), (1, "v", other), (None, "u", "c" * 90_000), (None, "u", "d" * 90_000), (2, "u", "same"), (2, "u", "own"), (3, "u", "same"), (0, "u", other)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = new_path(spark, "warc-shared")
+    warc.write(pages, path)
+    read = warc.read(spark, path).collect()
+    assert len({r.record_id for r in read}) == len(read) == len(rows) and all(r.complete for r in read)
+    digest = lambda text: warc.base32(hashlib.sha1(text.encode()).digest())
+    page = lambda x: x.strip("<>").split(":")[2]
+    got = sorted((page(r.record_id), r.payload_bytes, r.payload_digest, r.record_type, page(r.refers_to or "::")) for r in read)
+    refers = {(2, "same"): "3", (0, other): "1"}
+    assert got == sorted(("" if i is None else str(i), len(h), digest(h), "revisit" if (i, h) in refers else "response", refers.get((i, h), "")) for i, _, h in rows)
+    for r in read:
+        assert r.refers_to is None or [x.payload_digest for x in read if x.record_id.startswith(r.refers_to[:-1])][:1] == [r.payload_digest]
+
+
+def test_warc_finds_records_behind_a_missed_separator():
+    records = [r for i in range(3) for r in warc.page_records(i, "u", b"x" * i, "D", None, False)]
+    fragments = [warc.SEPARATOR.encode().join(records) + warc.SEPARATOR.encode()]
+    assert [f["warc-record-id"] for f, _ in warc.whole_records(fragments)] == [f"<urn:page:{i}>" for i in range(3)]
+
+
 def test_warc_reports_a_missing_segment(spark):
     records = list(warc.page_records(1, "u", b"z" * 90_000, "D", None, False, 20_000))
     whole = list(warc.whole_records([r for r in [records[0], *[x[len(warc.MARK) :] for x in records[2:]]]]))
