@@ -142,15 +142,16 @@ def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame |
     return out.drop("row_")
 
 
-def rename_edits(facts: DataFrame, path: str, old: str, new: str, rounds: int = 20) -> DataFrame:
+def rename_edits(facts: DataFrame, path: str, old: str, new: str) -> DataFrame:
     """Edits (path, old, new) for a renamed export, through re-exports; an alias ends the chain.
 
+    Chains of any length are followed: pairs once seen are not visited again, so circles end.
     facts: path, name, alias (null: none), target (file imported from), reexport (whether the name is exported on).
     """
     spark = facts.sparkSession
     front = seen = settled(spark.createDataFrame([(path, old)], "target string, name string"))
     edits = None
-    for _ in range(rounds):
+    while True:
         found = settled(facts.join(front, ["target", "name"], "left_semi").select("path", "name", "alias", "reexport"))
         edits = found if edits is None else edits.unionByName(found)
         front = found.where("reexport AND (alias IS NULL OR alias = name)").select(F.col("path").alias("target"), "name").distinct().join(seen, ["target", "name"], "left_anti")

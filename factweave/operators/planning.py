@@ -19,12 +19,14 @@ def plan_moves(imports: DataFrame, moves: DataFrame) -> DataFrame:
     return new.where("new IS NOT NULL AND new <> value").select("path", F.col("span_start").alias("begin"), F.col("span_end").alias("end"), "new")
 
 
-def plan_module_moves(files: DataFrame, module: str, moves: DataFrame) -> DataFrame:
+def plan_module_moves(files: DataFrame, module: str, moves: DataFrame, most: int = 1000) -> DataFrame:
     """path, text of Rust files (path, text, column `module`) whose paths name a moved module (old_module, new_module).
 
-    One module at a time is the rule; several moves rewrite in the order of their names.
+    One module at a time is the rule; several moves rewrite in the order of their names. More than `most` raise.
     """
-    pairs = [(r["old_module"], r["new_module"]) for r in moves.orderBy("old_module").limit(1000).collect()]
+    pairs = [(r["old_module"], r["new_module"]) for r in moves.orderBy("old_module").limit(most + 1).collect()]
+    if len(pairs) > most:
+        raise ValueError(f"more than {most} module moves at once")
     out = F.col("text")
     for old, new in pairs:
         out = rewrite_rust(out, F.col(module), F.lit(old), F.lit(new))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions import text as fn
-from factweave.operators import graph, sinks
+from factweave.operators import graph, planning, sinks
 from factweave.plans import rewrite
 
 
@@ -70,6 +70,20 @@ def test_rename_edits_pass_barrels_and_stop_at_aliases(spark):
     assert {r.path for r in graph.rename_edits(alias, "utils", "Foo", "Bar").collect()} == {"b1"}
 
 
+def test_rename_edits_follow_long_chains_and_circles(spark):
+    hops = [(f"b{i + 1}", "Foo", None, f"b{i}", True) for i in range(23)] + [("b0", "Foo", None, "b23", True), ("app", "Foo", None, "b23", False)]
+    facts = spark.createDataFrame(hops, "path string, name string, alias string, target string, reexport boolean").coalesce(1)
+    assert {r.path for r in graph.rename_edits(facts, "b0", "Foo", "Bar").collect()} == {"app", *(f"b{i}" for i in range(24))}
+
+
+def test_too_many_module_moves_raise(spark):
+    files = spark.createDataFrame([("a.rs", "use crate::m1::T;", "crate")], "path string, text string, module string")
+    moves = spark.createDataFrame([(f"crate::m{i}", f"crate::n{i}") for i in range(3)], "old_module string, new_module string")
+    assert [r.text for r in planning.plan_module_moves(files, "module", moves, most=3).collect()] == ["use crate::n1::T;"]
+    with pytest.raises(ValueError, match="more than 2"):
+        planning.plan_module_moves(files, "module", moves, most=2)
+
+
 def test_apply_edits(spark):
     files = spark.createDataFrame([("a", "héllo world"), ("b", "xyz"), ("c", "same")], "path string, text string")
     edits = spark.createDataFrame([("a", 6, 11, "you"), ("a", 0, 1, "H"), ("b", 0, 2, "q"), ("b", 1, 3, "r")], "path string, begin int, end int, new string")
