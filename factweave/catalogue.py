@@ -321,7 +321,7 @@ def j14_link_norm(spark, d):
 
 @query("SELECT l_orderkey || '' AS file, 'declare' AS kind, 'n' || l_linenumber AS old_name, 'm' || l_linenumber AS new_name, 'rename' AS change FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber % 2 = 0 GROUP BY ALL")
 def j16_nearest_span(spark, d):
-    li = t(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").cast("string").alias("file"), F.lit("declare").alias("kind"), F.col("l_linenumber").alias("n")).distinct()
+    li = t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), F.lit("declare").alias("kind"), F.col("l_linenumber").alias("n")).distinct()
     old = li.select("file", "kind", F.concat(F.lit("n"), F.col("n").cast("string")).alias("name"), (F.col("n") * 200).cast("long").alias("span"))
     new = li.select("file", "kind", F.concat(F.when(F.col("n") % 2 == 0, "m").otherwise("n"), F.col("n").cast("string")).alias("name"), (F.col("n") * 200 + 40).cast("long").alias("span"))
     return graph.nearest_spans(old, new)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,27 +93,42 @@ def nearest_spans(old: DataFrame, new: DataFrame, reach: int = 64) -> DataFrame:
     names at matched places are no change. Greedy in the order of old spans, one file and kind at a time, so a group
     is the declarations of one source file.
     """
-    both = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1)))
+    both = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1))).select("file", "kind", "side", "span", "name")
+    # Groups are small and many: each task passes over its groups in order instead of starting one call for each.
+    dealt = both.repartition("file", "kind").sortWithinPartitions("file", "kind", "side", F.asc_nulls_last("span"), F.asc_nulls_last("name"))
 
     def match(key, rows):
-        import pandas as pd
-
-        a = rows[rows["side"] == 0].sort_values(["span", "name"]).to_dict("records")
-        b = rows[rows["side"] == 1].sort_values(["span", "name"]).to_dict("records")
-        free, out = set(range(len(b))), []
-        for x in a:
-            near = [j for j in free if abs(b[j]["span"] - x["span"]) <= reach]
-            hit = min(near, key=lambda j: (abs(b[j]["span"] - x["span"]), j), default=None)
+        a, b = [r[3:] for r in rows if r[2] == 0], [r[3:] for r in rows if r[2] == 1]
+        free = set(range(len(b)))
+        for span, name in a:
+            near = [j for j in free if span is not None and b[j][0] is not None and abs(b[j][0] - span) <= reach]
+            hit = min(near, key=lambda j: (abs(b[j][0] - span), j), default=None)
             if hit is None:
-                out.append((*key, x["name"], None, "removed"))
+                yield (*key, name, None, "removed")
                 continue
             free.discard(hit)
-            if b[hit]["name"] != x["name"]:
-                out.append((*key, x["name"], b[hit]["name"], "rename"))
-        out += [(*key, None, b[j]["name"], "added") for j in sorted(free)]
-        return pd.DataFrame(out, columns=["file", "kind", "old_name", "new_name", "change"])
-
-    return both.groupBy("file", "kind").applyInPandas(match, "file string, kind string, old_name string, new_name string, change string")
+            if b[hit][1] != name:
+                yield (*key, name, b[hit][1], "rename")
+        for j in sorted(free):
+            yield (*key, None, b[j][1], "added")
+
+    def run(batches):
+        names = ["file", "kind", "old_name", "new_name", "change"]
+
+        def packed(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+
+        out = []
+        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns), strict=True))
+        for key, group in groupby(rows, key=lambda r: r[:2]):
+            out += match(key, list(group))
+            if len(out) >= 10_000:
+                yield packed(out)
+                out = []
+        if out:
+            yield packed(out)
+
+    return dealt.mapInArrow(run, "file string, kind string, old_name string, new_name string, change string")
 
 
 def importers(imports: DataFrame, targets: DataFrame) -> DataFrame:

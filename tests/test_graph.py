@@ -40,6 +40,14 @@ def test_nearest_spans(spark):
     assert case([("d", "A", 0), ("d", "B", 2)], [("d", "B", 0), ("d", "A", 2)]) == [("A", "B", "rename"), ("B", "A", "rename")]
 
 
+def test_nearest_span_covers_every_order(spark, tmp_path):
+    from factweave import catalogue
+
+    spark.createDataFrame([(o, n) for o in range(1, 31) for n in (1, 2, 2, 4)], "l_orderkey long, l_linenumber long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["j16_nearest_span"](spark, str(tmp_path)).collect())
+    assert got == sorted((str(o), "declare", f"n{n}", f"m{n}", "rename") for o in range(1, 31) for n in (2, 4))
+
+
 def test_snapshot_diff_finds_renames(spark):
     df = lambda rows: spark.createDataFrame(rows, "path string, hash string")
     got = sorted((r.path, r.change, r.old_path or "") for r in graph.snapshot_diff(df([("a", "1"), ("b", "2"), ("c", "3")]), df([("a", "9"), ("z", "2"), ("n", "5")])).collect())
