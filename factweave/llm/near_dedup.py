@@ -5,16 +5,24 @@ least and the greatest image, so BANDS * ROWS values take half as many hash eval
 two of one permutation fall into different bands; at the threshold a linked pair misses every band with probability
 (1 - t^ROWS)^BANDS, 1.5e-9 for the defaults.
 
-Equal sets collapse to one representative first. Bands only gather candidate clusters: each bucket links its members
-to its least one, and connected components of these links hold every candidate pair. Links are then confirmed on
-full sets (64-bit shingle hashes) inside each cluster: an inverted index over the cluster's shingles gives all exact
-intersections without listing pairs, and only links that join two components are returned. A cluster above BLOCK_DOCS
-documents or BLOCK_SHINGLES shingles is cut into blocks, and every pair of blocks is a group of its own, so no task
-holds more than two blocks and no pair is lost. Components run by repeated least-neighbour steps with pointer jumping, each round written to shared storage.
+Equal sets collapse to one representative first. Links are confirmed on full sets (64-bit shingle hashes), in two steps:
+
+1. Stars. Each representative is compared with the least members (heads) of its buckets, the STARS heads that share
+   most buckets with it. What links is joined into classes.
+2. Buckets. A bucket whose members are all in one class has nothing left to find. In every other one, members outside
+   its largest class are compared with each other and with that class, in pairs of blocks of at most BLOCK_DOCS
+   documents or BLOCK_SHINGLES shingles, so no task holds more than two blocks and no pair is lost. Buckets with the same
+   members are done once.
+
+So a group of m copies costs a few rows a member, not its square; only documents that share buckets without being
+linked are compared pair by pair. Classes are components by hooking to the least neighbour, pointer jumping and
+contraction of the links, each round written to shared storage.
 
 Edge cases: null, empty or all-white texts have the empty set and link with nothing, also not with each other; texts
-with fewer words than a shingle are one shingle; a null id is treated as the lowest id; repeated rows share a class;
-an empty table gives an empty result; extra columns are ignored.
+with fewer words than a shingle are one shingle; repeated rows share a class. Rows that repeat an id with other texts
+are classed each by its own text; where such an id stands for two sets, links of either count. A null id names no
+document: its row takes the component of the documents with the same set, else null, and links with nothing else (such
+rows all stay). An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +30,20 @@ from __future__ import annotations
 import hashlib
 import re
 
+from itertools import groupby
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, WORD, materialize, table
 
 ROWS, BANDS = 8, 64
-#: A block of a candidate cluster holds about so many documents and so many shingles at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 2000, 500_000
+#: Heads that a representative is compared with at first, and members of one head that go to one task.
+STARS, STAR_DOCS = 3, 500
+#: A block of a bucket holds about so many documents and so many shingles at most.
+BLOCK_DOCS, BLOCK_SHINGLES = 500, 250_000
 _LOW = str.maketrans(UPPER, LOWER)
 _MEMO = 150_000
 
@@ -97,7 +108,7 @@ def band_keys(own: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int, bands: i
 
 
 def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
-    """doc_id, n (set size), digest (of the set), keys (array of band keys; null for the empty set)."""
+    """doc_id, mark (of the text), n (set size), digest (of the set), keys (array of band keys; null for the empty set)."""
 
     def run(batches):
         a, b = permutations(rows, bands)
@@ -105,7 +116,7 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
         last: tuple[bytes | None, object] = (None, None)
         for batch in batches:
             n, digest, keys = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 own = shingles(text.as_py(), words, memo)
                 mark = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 if mark != last[0]:
@@ -113,114 +124,214 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                 n.append(len(own))
                 digest.append(mark)
                 keys.append(last[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>")
-
-
-def components(links: DataFrame, tag: str, most: int = 60) -> DataFrame:
-    """id, root (least id reachable) of every node of the links (a, b)."""
-    n = 2 * links.count()
-    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-links", n)
-    label = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "id"), f"{tag}-label", n)
-    for _ in range(most):
-        near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("near"))
-        step = label.join(near, F.col("id") == F.col("a")).select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = label.select(F.col("id").alias("j"), F.col("root").alias("jump"))
-        moved = materialize(step.join(jump, F.col("root") == F.col("j")).select("id", "old", F.least("root", "jump").alias("root")), f"{tag}-step", n)
-        label = moved.select("id", "root")
-        if moved.where("root <> old").isEmpty():
-            return label
-    raise RuntimeError("components did not settle")
-
-
-def joins(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, share: int) -> list[tuple[int, int]]:
-    """Links that join components, among all pairs of sets (side: 0 only, or pairs of side 0 with side 1)."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in order])
-    flat = np.concatenate([sets[i] for i in order])
-    owner = np.repeat(np.arange(len(order)), sizes)
-    by = np.argsort(flat, kind="stable")
-    flat_s, owner_s = flat[by], owner[by]
-    starts = np.flatnonzero(np.r_[True, flat_s[1:] != flat_s[:-1]])
-    ends = np.r_[starts[1:], len(flat_s)]
-    place = np.empty(len(flat), np.int64)
-    place[by] = np.repeat(np.arange(len(starts)), ends - starts)
-    offsets = np.r_[0, np.cumsum(sizes)]
-    two = bool(side.any())
-    side_o = side[order]
-    root = np.arange(len(order))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n", "digest", "keys"])
+
+    marked = docs.select(F.col("doc_id").cast("long"), _mark(), "text")
+    return marked.mapInArrow(run, "doc_id long, mark long, n long, digest binary, keys array<long>")
+
+
+def _mark():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark")
+
+
+def components(links: DataFrame, tag: str) -> DataFrame:
+    """id, root (least id reachable) of the nodes of the links (a, b) that are not roots themselves.
+
+    Every node hooks to its least smaller neighbour; the trees are flattened by pointer jumping and the links contracted to
+    their roots, until none is left. At most half of the nodes are roots after each round.
+    """
+
+    def between(edges: DataFrame) -> DataFrame:
+        edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return materialize(edges, f"{tag}-links", rows)
+
+    rows = links.count()
+    edges, found = between(links), None
+    while not edges.isEmpty():
+        rows = edges.count()
+        hook = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")), f"{tag}-hooks", rows)
+        while True:
+            up = hook.select(F.col("id").alias("i_"), F.col("root").alias("r_"))
+            flat = hook.join(up, F.col("root") == F.col("i_"), "left")
+            flat = materialize(flat.select("id", F.coalesce("r_", "root").alias("root"), F.col("r_").isNotNull().alias("moved")), f"{tag}-flat", rows)
+            hook = flat.select("id", "root")
+            if flat.where("moved").isEmpty():
+                break
+        edges = between(_mapped(_mapped(edges, hook, "a"), hook, "b"))
+        found = hook if found is None else materialize(_mapped(found, hook, "root").select("id", "root").unionByName(hook), f"{tag}-roots", rows)
+    return found if found is not None else links.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
+
+
+def _mapped(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """rows with the roots (id, root) of a column's ids in place of them."""
+    to = roots.select(F.col("id").alias("i_"), F.col("root").alias("r_"))
+    return rows.join(to, F.col(column) == F.col("i_"), "left").withColumn(column, F.coalesce("r_", column)).drop("i_", "r_")
+
+
+def linked(one: np.ndarray, other: np.ndarray, share: int) -> bool:
+    """Whether two sorted sets are alike enough."""
+    if 100 * min(len(one), len(other)) < share * max(len(one), len(other)):
+        return False
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * both >= share * (len(one) + len(other) - both)
+
+
+def joins(sets: list[np.ndarray], labels: list[int], first: list[bool] | None, share: int) -> list[tuple[int, int]]:
+    """Pairs of labels that links join: among all sets, or (first given) between those of the first block and the others."""
+    ask = range(len(sets)) if first is None else [i for i, x in enumerate(first) if x]
+    among = list(ask) if first is None else [i for i, x in enumerate(first) if not x]
+    sizes = np.array([len(sets[i]) for i in among], np.int64)
+    flat = np.concatenate([sets[i] for i in among]) if among else np.empty(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(among)), sizes)[order]
+    root = {x: x for x in labels}
+    left = len(root) - 1
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
     out = []
-    for i in range(len(order)):
-        posts = [owner_s[starts[p] : ends[p]] for p in place[offsets[i] : offsets[i + 1]] if ends[p] - starts[p] > 1]
-        if not posts:
-            continue
-        common = np.bincount(np.concatenate(posts), minlength=len(order))[:i]
-        good = 100 * common >= share * (sizes[:i] + sizes[i] - common)
-        if two:
-            good &= side_o[:i] != side_o[i]
-        for j in np.flatnonzero(good):
-            x, y = find(i), find(j)
+    for i in ask:
+        if not left:
+            break
+        low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        runs = high - low
+        at = np.repeat(low - np.r_[0, np.cumsum(runs)[:-1]], runs) + np.arange(runs.sum())
+        common = np.bincount(owner[at], minlength=len(among))
+        for j in np.flatnonzero((common > 0) & (100 * common >= share * (sizes + len(sets[i]) - common))):
+            x, y = find(labels[i]), find(labels[among[j]])
             if x != y:
                 root[max(x, y)] = min(x, y)
-                out.append((int(ids[order[i]]), int(ids[order[j]])))
+                left -= 1
+                out.append((max(x, y), min(x, y)))
     return out
 
 
-def classes(docs: DataFrame, words: int = 3, share: int = 85, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept. share: least similarity in hundredths."""
+def _rows(batches):
+    """Rows of Arrow batches, one at a time."""
+    for batch in batches:
+        yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+
+
+def _links(pairs):
+    for i in range(0, len(pairs), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs[i : i + 100_000], strict=True)], names=["a", "b"])
+
+
+def stars(shared: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) of representatives with the heads that share most buckets with them. shared: rep, key, head."""
+    most = Window.partitionBy("rep").orderBy(F.desc("m"), "head")
+    tries = shared.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("m"))
+    tries = materialize(tries.withColumn("k", F.row_number().over(most)).where(F.col("k") <= STARS).select("rep", "head"), "near-tries")
+    # A head that a third of all documents share is dealt over as many tasks as its members need.
+    per = materialize(tries.groupBy("head").agg(F.ceil(F.count("*") / STAR_DOCS).alias("parts")), "near-heads", tries.count())
+    members = tries.join(per, "head").select("head", F.pmod(F.xxhash64("rep"), "parts").alias("part"), "rep")
+    hubs = per.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    rows = members.join(sets, F.col("rep") == F.col("node")).select("head", "part", "rep", "set")
+    rows = rows.unionByName(hubs.join(sets, F.col("head") == F.col("node")).select("head", "part", F.lit(None).cast("long").alias("rep"), "set"))
+
+    def run(batches):
+        found = []
+        for _, group in groupby(_rows(batches), key=lambda r: r[:2]):
+            heads = []
+            for head, _, rep, raw in group:
+                own = np.frombuffer(raw, np.uint64)
+                if rep is None:  # heads come first
+                    heads.append(own)
+                elif any(linked(own, other, share) for other in heads):
+                    found.append((rep, head))
+            if len(found) >= 100_000:
+                yield from _links(found)
+                found = []
+        yield from _links(found)
+
+    dealt = rows.repartition("head", "part").sortWithinPartitions("head", "part", F.asc_nulls_first("rep"))
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def across(labelled: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between classes of one bucket, whole and exact. labelled: key, rep, n, label."""
+    sums = labelled.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.bit_xor(F.xxhash64("rep")).alias("f"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("g"))
+    sums = materialize(sums, "near-sums")
+    largest = F.max_by("label", F.struct("m", "all", "label"))
+    each = sums.groupBy("key").agg(largest.alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("m").alias("main_m"), F.sum("m").alias("m"), F.sum("all").alias("all"), F.bit_xor("f").alias("f"), F.bit_xor("g").alias("g"))
+    # Buckets with the same members find the same.
+    once = each.where("lo <> hi").groupBy("f", "g", "m").agg(F.min("key").alias("key")).select("key")
+    parts = lambda m, whole: F.greatest(F.lit(1), F.ceil(F.greatest(m / BLOCK_DOCS, whole / BLOCK_SHINGLES))).cast("int")
+    other, main = F.col("label") != F.col("main"), F.col("label") == F.col("main")
+    open_ = sums.join(each.where("lo <> hi").select("key", "main").join(once, "key"), "key").groupBy("key", "main").agg(
+        parts(F.sum(F.when(other, F.col("m")).otherwise(0)), F.sum(F.when(other, F.col("all")).otherwise(0))).alias("others"), parts(F.sum(F.when(main, F.col("m")).otherwise(0)), F.sum(F.when(main, F.col("all")).otherwise(0))).alias("mains")
+    )
+    open_ = materialize(open_, "near-open")
+    rows = labelled.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(other, F.col("others")).otherwise(F.col("mains"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    # Blocks of the largest class are numbered from -1 downwards.
+    own = F.transform(upto("others"), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+    to_main = F.transform(upto("mains"), lambda o: F.struct(F.col("block").alias("x"), (-1 - o).alias("y")))
+    from_main = F.transform(upto("others"), lambda o: F.struct(o.alias("x"), (-1 - F.col("block")).alias("y")))
+    rows = rows.select("key", "rep", "label", F.when(other, F.col("block")).otherwise(-1 - F.col("block")).alias("own"), F.explode(F.when(other, F.concat(own, to_main)).otherwise(from_main)).alias("pair"))
+    rows = rows.join(sets, F.col("rep") == F.col("node")).select("key", "pair.x", "pair.y", "own", "label", "set")
+
+    def run(batches):
+        found = []
+        for (_, x, y), group in groupby(_rows(batches), key=lambda r: r[:3]):
+            blocks, labels, raw = zip(*(r[3:] for r in group), strict=True)
+            found += joins([np.frombuffer(r, np.uint64) for r in raw], labels, None if x == y else [b == x for b in blocks], share)
+            if len(found) >= 100_000:
+                yield from _links(found)
+                found = []
+        yield from _links(found)
+
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, set (its sorted 64-bit shingle hashes) of the documents among `nodes` (rep)."""
+
+    def run(batches):
+        memo: dict[str, int] = {}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), words, memo).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "set"])
+
+    return docs.join(nodes, F.col("doc_id") == F.col("rep")).select("doc_id", "text").mapInArrow(run, "node long, set binary")
+
+
+def _classed(docs: DataFrame, words: int, share: int, rows: int, bands: int) -> DataFrame:
+    """doc_id, mark (of the text), n_shingles, component_id."""
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     signed = materialize(signatures(plain, words, rows, bands), "near-signed")
-    reps = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     n = signed.count()
-    reps = materialize(reps, "near-classes", 16 * n)
-    keyed = reps.select("rep", F.explode("keys").alias("key"))
-    heads = materialize(keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head"), "near-heads", bands * n)
-    edges = keyed.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = components(materialize(edges, "near-edges", bands * n), "near-candidates")
-    sized = clusters.join(reps.select("rep", "n"), F.col("id") == F.col("rep")).select("id", "root", "n")
-    links = confirmed(plain, sized, words, share)
-    groups = components(materialize(links, "near-links"), "near")
-    label = reps.select("digest", "rep").join(groups, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
-    label = materialize(label, "near-labels", n)
-    out = signed.select("doc_id", "n", "digest").join(label, "digest", "left")
+    reps = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    reps = materialize(reps.where("rep IS NOT NULL"), "near-classes", 16 * n)
+    keyed = reps.select("rep", "n", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last").select("key", "head")
+    shared = materialize(keyed.join(materialize(heads, "near-buckets", bands * n), "key").select("key", "rep", "n", "head"), "near-shared", bands * n)
+    sets = materialize(shingle_sets(plain, shared.select("rep").distinct(), words), "near-sets")
+    label = components(materialize(stars(shared, sets, share), "near-stars"), "near-star")
+    labelled = materialize(_mapped(shared.select("key", "rep", "n", F.col("rep").alias("label")), label, "label"), "near-labelled", bands * n)
+    more = components(materialize(across(labelled, sets, share), "near-across"), "near-class")
+    label = materialize(_mapped(_mapped(reps.select("digest", F.col("rep").alias("component_id")), label, "component_id"), more, "component_id"), "near-labels", n)
+    out = signed.select("doc_id", "mark", "n", "digest").join(label, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def confirmed(docs: DataFrame, clusters: DataFrame, words: int, share: int) -> DataFrame:
-    """Confirmed links (a, b) that span the similarity graph inside each candidate cluster (id, root, n shingles)."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("all") / BLOCK_SHINGLES)).cast("int")
-    n = clusters.count()
-    sizes = materialize(sizes.select("root", blocks.alias("blocks")), "near-sizes", n)
-    member = materialize(clusters.join(sizes, "root").select("id", "root", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")), "near-members", n)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    texts = docs.join(member, F.col("doc_id") == F.col("id")).select("id", "root", "block", F.explode(pairs).alias("pair"), "text")
-    dealt = texts.select("id", "root", "block", "pair.x", "pair.y", "text")
-
-    def confirm(key, group: pd.DataFrame) -> pd.DataFrame:
-        memo: dict[str, int] = {}
-        group = group.drop_duplicates("id")
-        sets = [shingles(text, words, memo) for text in group["text"]]
-        across = key[1] != key[2]
-        side = (group["block"].to_numpy() == key[2]).astype(int) if across else np.zeros(len(group), int)
-        return pd.DataFrame(joins(group["id"].to_numpy(), sets, side, share), columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("root", "x", "y").applyInPandas(confirm, "a long, b long")
+def classes(docs: DataFrame, words: int = 3, share: int = 85, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept. share: least similarity in hundredths."""
+    found = _classed(docs, words, share, rows, bands)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, share: int = 80, rows: int = 7, bands: int = BANDS) -> DataFrame:
     """The documents that stay, one of each group, all columns as they were."""
-    kept = classes(docs, words, share, rows, bands).where("kept").select(F.col("doc_id").alias("k_")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["k_"]), "left_semi")
+    kept = _classed(docs, words, share, rows, bands).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.col("doc_id").alias("k_"), F.col("mark").alias("m_")).distinct()
+    mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["k_"]) & (mark == kept["m_"]), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

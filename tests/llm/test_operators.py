@@ -219,6 +219,52 @@ def test_near_dedup_equals_brute_force(spark, block, monkeypatch):
     assert got == brute_classes(rows, 3, 85)
 
 
+def test_near_dedup_of_a_large_cluster_equals_brute_force(spark, monkeypatch):
+    """5,000 texts around one, many just above and just below the threshold, in small blocks."""
+    for name, value in {"STAR_DOCS": 400, "BLOCK_DOCS": 300}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(90)], []
+    for i in range(5000):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 5, 8])):
+            own[rng.randrange(90)] = f"x{rng.randint(0, 30)}"
+        rows.append((i, " ".join(own), "s"))
+    words = [t.split() for _, t, _ in rows]
+    sets = [{tuple(w[k : k + 3]) for k in range(88)} for w in words]
+    names = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(names)), np.float32)
+    for i, own in enumerate(sets):
+        has[i, [names[g] for g in own]] = 1
+    size, root = has.sum(1), np.arange(len(sets))
+    both = has @ has.T
+    near = 100 * both >= 85 * (size[:, None] + size[None, :] - both)
+    while True:  # least label among neighbours, until nothing moves
+        least = np.array([root[near[i]].min() for i in range(len(sets))])
+        if (least == root).all():
+            break
+        root = least
+    assert 100 < len(set(root)) < 4000
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.classes(docs_of(spark, rows)).collect()}
+    assert got == {i: (len(sets[i]), root[i]) for i in range(5000)}
+
+
+def test_near_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 4000), (4500, 5000), (7, 7)]
+    got = {r.id: r.root for r in near_dedup.components(spark.createDataFrame(links, "a long, b long"), "t").collect()}
+    assert got == {i: 0 for i in range(1, 301)} | {i: 1000 for i in range(1001, 1200)} | {4500: 4000, 5000: 4000}
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(None, a, None), (5, a, None), (5, b, None), (9, b, None), (None, b + " c", None), (None, "own", None), (None, "own", None), (7, "", None), (7, "", None)]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.classes(docs_of(spark, rows)).collect())
+    assert got == sorted([("None", 28, "5", False), ("5", 28, "5", True), ("5", 28, "5", True), ("9", 28, "5", False), ("None", 29, "None", True), ("None", 1, "None", True), ("None", 1, "None", True), ("7", 0, "7", True), ("7", 0, "7", True)])
+    left = sorted((str(r.doc_id), r.text) for r in near_dedup.keep_one(docs_of(spark, rows)).collect())
+    assert left == sorted([("5", a), ("5", b), ("None", b + " c"), ("None", "own"), ("None", "own"), ("7", ""), ("7", "")])
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.classes(docs_of(spark, [])).count() == 0
     assert [tuple(r) for r in near_dedup.classes(docs_of(spark, [(5, None, None)])).collect()] == [(5, 0, 5, True)]
