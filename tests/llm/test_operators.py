@@ -33,13 +33,33 @@ def test_exact_dedup_groups_by_bytes(spark):
 def test_exact_dedup_chains_colliding_hashes_and_splits_buckets(spark, bits):
     rows = [(i, f"text {i % 40}", "s") for i in range(100)]
     index = exact_dedup.build_index(docs_of(spark, rows), bucket_rows=4, hash_bits=bits)
-    assert index.count() == 40 and index.select("h", "chain").distinct().count() == 40
+    assert index.entries.count() == 40 and index.entries.select("h", "chain").distinct().count() == 40
+    assert (index.collided is None) == (bits == 64)
     if bits == 64:
-        assert index.groupBy("depth", "prefix").count().agg(F.max("count")).first()[0] <= 4
+        assert index.entries.groupBy("depth", "prefix").count().agg(F.max("count")).first()[0] <= 4
+        assert index.entries.select("depth").distinct().count() > 1  # some split, others did not
     got = exact_dedup.assign(docs_of(spark, rows), 4, bits).where("kept").select("doc_id").collect()
     assert {r.doc_id for r in got} == set(range(60, 100))
 
 
+def test_exact_dedup_reads_its_result_from_the_index(spark):
+    """The index alone decides: with other decisions in its entries, the look-up gives those; rows it lacks are not found."""
+    docs = docs_of(spark, ROWS)
+    for bits in (1, 64):
+        index = exact_dedup.build_index(docs, 2, bits)
+        index.entries = index.entries.withColumn("keep_id", F.lit(-1))
+        assert {r.keep_id for r in exact_dedup.look_up(docs, index).collect()} == {-1}
+        index.directory = index.directory.where("false")
+        assert exact_dedup.look_up(docs, index).count() == 0
+
+
+def test_exact_dedup_of_null_ids(spark):
+    rows = [(None, "a", None), (1, "A", None), (None, "b", None), (None, "B", None), (4, "b c", None), (4, "a", None)]
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.assign(docs_of(spark, rows)).collect())
+    assert got == sorted([("None", "4", 3, False), ("1", "4", 3, False), ("4", "4", 3, True), ("None", "None", 2, True), ("None", "None", 2, True), ("4", "4", 1, True)])
+    assert sorted(str(r.text) for r in exact_dedup.deduplicate(docs_of(spark, rows)).collect()) == ["B", "a", "b", "b c"]
+
+
 def test_exact_dedup_empty(spark):
     assert exact_dedup.assign(docs_of(spark, [])).count() == 0
 
