@@ -94,6 +94,88 @@ def test_mix_meets_targets_and_limits(spark):
     assert [r.taken for r in mixing.mix(docs_of(spark, [(1, None, None)])).collect()] == [0]
 
 
+def model_of_mix(rows, weights=(1, 2, 3)):
+    """taken per row, in plain Python: targets, streams in hash order, slots through the source's permutation."""
+    import math
+
+    import xxhash
+
+    def h(*values, seed=42):  # chained over the columns; 32-bit for literals, 64-bit for columns and long literals
+        for v, width in values:
+            if v is not None:
+                seed = xxhash.xxh64_intdigest(v.to_bytes(width, "little", signed=True), seed & (2**64 - 1))
+        return seed - 2**64 if seed >= 2**63 else seed
+
+    def perm(x, n, *seed):
+        for i in range(1, mixing.ROUNDS + 1):
+            other = (h(*seed, (i, 4)) % n + n - x) % n
+            x = other if h(*seed, (i, 4), (max(x, other), 8)) & 1 else x
+        return x
+
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    whole = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in sources}
+    weight = {s: weights[k % 3] for k, s in enumerate(sources)}
+    full = set()
+    while True:
+        rest = sum(whole.values()) - sum(3 * whole[s] for s in full)
+        level = rest / sum(weight[s] for s in sources if s not in full)
+        more = {s for s in sources if 3 * whole[s] <= weight[s] * level}
+        if more == full:
+            break
+        full = more
+    target = {s: 3 * whole[s] if s in full else weight[s] * level for s in sources}
+    parts = max(1, math.isqrt(len(rows)))
+    taken = [0] * len(rows)
+    for k, s in enumerate(sources):
+        if not whole[s]:
+            continue
+        own = [i for i, r in enumerate(rows) if r[2] == s]
+        own.sort(key=lambda i: (h((rows[i][0], 8)) % parts, h((rows[i][0], 8), (mixing.SEED, 4)), rows[i][0], size[i]))
+        words = [i for i in own for _ in range(size[i])]
+        n = math.ceil(whole[s] / mixing.BLOCK)
+        draws = math.floor(target[s] / whole[s] * n + 0.5)
+        for i in range(draws):
+            at = i % n
+            block = perm(at, min(n, draws - i + at), (mixing.SEED, 4), (k, 8))
+            for i in words[block * mixing.BLOCK : (block + 1) * mixing.BLOCK]:
+                taken[i] += 1
+    return size, [whole[r[2]] for r in rows], [target[r[2]] for r in rows], taken
+
+
+def test_mix_equals_the_model_and_its_own_blocks(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join([f"d{i}"] * rng.randint(0, 300)), rng.choice(["a"] * 6 + ["b", "c", None])) for i in range(200)] + [(300, None, "a"), (301, " ", None), (302, "d302 " * 5000, "c")]
+    docs = docs_of(spark, rows)
+    size, whole, target, taken = model_of_mix(rows)
+    for shard in (7, mixing.SHARD):
+        got = {r.doc_id: r for r in mixing.mix(docs, shard=shard).collect()}
+        assert [(got[i].size, got[i].source_size, got[i].taken) for i, _, _ in rows] == list(zip(size, whole, taken, strict=True))
+        assert [got[i].target for i, _, _ in rows] == pytest.approx(target)
+        mixed = mixing.blocks(docs, shard=shard).collect()
+        held = {}
+        for r in mixed:
+            assert len(r.words) <= mixing.BLOCK and 0 <= r.slot
+            for w in r.words:
+                held[int(w[1:])] = held.get(int(w[1:]), 0) + 1
+        assert held == {i: t for (i, _, _), t in zip(rows, taken, strict=True) if t}
+        places = {}
+        for r in mixed:
+            places.setdefault(r.shard, []).append(r.slot)
+        assert sorted(places) == list(range(len(places)))
+        assert all(sorted(x) == list(range(len(x))) for x in places.values())
+        assert [len(places[k]) for k in sorted(places)][:-1] == [shard] * (len(places) - 1)
+
+
+def test_mix_with_ties_and_null_ids(spark):
+    rows = [(None, "a b c", "s"), (None, "d e f", "s"), (4, "g h i", "s"), (4, "g h i", "s"), (4, "j k l", "s"), (5, "m " * 200, None)]
+    docs = docs_of(spark, rows)
+    got = sorted(map(str, mixing.mix(docs).collect()))
+    assert len(got) == len(rows) and got == sorted(map(str, mixing.mix(docs).collect()))
+    words = [w for r in mixing.blocks(docs).collect() if r.source == "s" and r.epoch == 0 for w in r.words]
+    assert sorted(words) == sorted("a b c d e f g h i g h i j k l".split())
+
+
 def test_take_gives_out_the_target_shares(spark):
     rng = random.Random(2)
     rows = [(i, " ".join([f"w{i}"] * rng.randint(1, 400)), rng.choice(["a"] * 8 + ["b", "c", None])) for i in range(600)] + [(5, "x y", "b"), (None, "u v w", "c"), (None, "u v w", "c")]
