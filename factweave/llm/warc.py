@@ -5,9 +5,9 @@ Spark's text writer and reader here, so archives go through the cluster's own fi
 Blocks are HTTP responses in chunked transfer framing. A block above SEGMENT bytes is split: the first segment keeps
 the record's id, continuation records name it as origin and carry their number, the last one the total length.
 
-Reading: fragments between separators become records again by Content-Length (a payload may hold the separator;
-gzip archives are read in order, so a false cut is mended from the next fragment). Records without continuation are
-decoded where they are read. Segments are grouped by origin, ordered by number, checked for gaps and against the total
+Reading: Spark's text reader hands over each file in pieces, cut where a separator stands; the pieces are joined again
+and records are framed by Content-Length alone, so a payload may hold separators and beginnings of records anywhere
+(gzip files are read by one task, in order). Records without continuation are decoded where they are read. Segments are grouped by origin, ordered by number, checked for gaps and against the total
 length, joined, and only then unchunked. A record that fails a check is returned with complete = false, never dropped.
 
 Every record has an id of its own: <urn:page:ID> where one page has the id, else <urn:page:ID:PAYLOAD:ROW> with the
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -158,22 +159,33 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def whole_records(fragments):
-    """(fields, block) of each record from the fragments between separators, in order."""
-    held = b""
-    for fragment in fragments:
-        if fragment.startswith(MARK):  # a file begins
-            held, fragment = b"", fragment[len(MARK) :]
-        held = held + CUT.encode() + fragment if held else fragment
+    """(fields, block) of each record of one file, from its pieces between separators, in order.
+
+    The last record of a file that breaks off has what there is of its block; without a length, a record ends with its piece.
+    """
+    held, need, fields, at = bytearray(), None, {}, 0
+    for k, fragment in enumerate(fragments):
+        held += CUT.encode() + fragment if k else fragment
         while held:
-            head, gap, block = held.partition(SEPARATOR.encode())
-            fields = _fields(head)
-            length = int(fields.get("content-length", "-1")) if fields.get("content-length", "").isdigit() else -1
-            if gap and len(block) < length:
-                break  # a payload held the separator
-            rest = block[length:] if length >= 0 else b""
-            # The reader may pass over a separator at the end of its buffer: the next record is then still here.
-            held = rest[len(CUT) :] if rest.startswith(CUT.encode()) else b""
-            yield fields, block[:length] if length >= 0 else block
+            if need is None:
+                if held.startswith(SEPARATOR.encode()):  # the end of the record before
+                    del held[: len(SEPARATOR)]
+                    continue
+                gap = held.find(SEPARATOR.encode())
+                if gap < 0:
+                    break  # a block begins like a record: the header's blank line went with the separator
+                fields, at = _fields(bytes(held[:gap]).removeprefix(MARK)), gap + len(SEPARATOR)
+                length = fields.get("content-length", "")
+                need = at + int(length) if length.isdigit() else len(held)
+            if len(held) < need:
+                break
+            yield fields, bytes(held[at:need])
+            del held[:need]
+            need = None
+    if held.strip():
+        if need is None:
+            fields, at = _fields(bytes(held).removeprefix(MARK)), len(held)
+        yield fields, bytes(held[at:])
 
 
 SEGMENTS = "origin string, number long, total long, type string, digest string, refers_to string, length long, block binary, payload_bytes long, payload_digest string, complete boolean"
@@ -191,12 +203,14 @@ def _read(path_df: DataFrame) -> DataFrame:
             return [*base, None, *decoded(base[3], base[4], base[6], block)]
 
         rows, held = [], 0
-        for fields, block in whole_records(x for batch in batches for x in batch.column(0).to_pylist()):
-            rows.append(row(fields, block))
-            held += len(block)
-            if held > 8_000_000:
-                yield packed(rows)
-                rows, held = [], 0
+        pieces = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for _, file in groupby(pieces, key=lambda x: x[0]):
+            for fields, block in whole_records(x for _, x in file):
+                rows.append(row(fields, block))
+                held += len(block)
+                if held > 8_000_000:
+                    yield packed(rows)
+                    rows, held = [], 0
         if rows:
             yield packed(rows)
 
@@ -220,7 +234,7 @@ def decoded(kind, digest, length, block: bytes):
 
 def read(spark, path: str) -> DataFrame:
     """record_id, record_type, payload_bytes, payload_digest, refers_to, complete for every record of the archives."""
-    fragments = spark.read.option("lineSep", CUT).text(path).select(F.col("value").cast("binary"))
+    fragments = spark.read.option("lineSep", CUT).text(path).select("_metadata.file_path", F.col("value").cast("binary"))
     rows = materialize(_read(fragments), "warc-records")
     whole = rows.where("number IS NULL").select("origin", "type", "refers_to", "payload_bytes", "payload_digest", "complete")
 

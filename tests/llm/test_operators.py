@@ -267,6 +267,29 @@ def test_warc_keeps_pages_that_share_an_id_apart(spark):
         assert r.refers_to is None or [x.payload_digest for x in read if x.record_id.startswith(r.refers_to[:-1])][:1] == [r.payload_digest]
 
 
+def test_warc_frames_by_length_alone(spark):
+    """Payloads that look like records, longer than a segment, at every border; an empty table."""
+    mark, gap = "WARC/1.1\r\n", "\r\n\r\n"
+    fields = "WARC-Type: response\r\nContent-Length: 3\r\n"
+    texts = [mark * 20_000, (gap + mark) * 9_000, (gap + mark + mark) * 5_000, gap * 30_000, (mark + fields + gap + "abc" + gap) * 2_000, "x" * 32_000 + gap + mark, mark, gap]
+    pages = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)] + [(None, "u", mark * 9_000)], "page_id long, url string, html string")
+    path = new_path(spark, "warc-lengths")
+    for segment in (32 * 1024, 777):
+        warc.write(pages, path + str(segment), segment=segment)
+        got = sorted((r.record_id, r.payload_bytes, r.payload_digest, r.complete) for r in warc.read(spark, path + str(segment)).collect())
+        digest = lambda t: warc.base32(hashlib.sha1(t.encode()).digest())
+        assert got == sorted((f"<urn:page:{i}>", len(t), digest(t), True) for i, t in [*enumerate(texts), ("", mark * 9_000)])
+    warc.write(pages.limit(0), path + "-none")
+    assert warc.read(spark, path + "-none").count() == 0
+
+
+def test_warc_reports_records_that_break_off():
+    whole = b"".join(warc.page_records(1, "u", b"z" * 9_000, "D", None, False))
+    for cut in (10, 100, len(whole) - 500, len(whole) - 1):
+        (fields, block), = warc.whole_records([whole[:cut]])
+        assert not warc.decoded(fields.get("warc-type"), "sha1:D", None, block)[2]
+
+
 def test_warc_finds_records_behind_a_missed_separator():
     records = [r for i in range(3) for r in warc.page_records(i, "u", b"x" * i, "D", None, False)]
     fragments = [warc.SEPARATOR.encode().join(records) + warc.SEPARATOR.encode()]
