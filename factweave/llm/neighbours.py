@@ -8,11 +8,14 @@ r; candidates are checked on the whole code and reranked by inner products in do
 
 The radius is fitted on the sample: it covers RECALL of the true neighbours there, and a few bits are added. Should a
 query find fewer than k codes in a shard, the shard's next radius is tried until it has k or has seen every row.
-Queries and rows meet in blocks: each shard sees each block of queries once; k rows a query and shard come out.
+A shard is indexed once for BLOCK queries, which stream past it; k rows a query and shard come out. Rows are dealt to
+shards by row, not by id, so an id that many rows share fills no shard.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, as queries or as candidates; rows that repeat an id are one candidate each, and none is found for its own id; equal vectors
-tie and the smaller id comes first; fewer candidates than k give fewer rows; an empty table gives an empty result.
+part, as queries or as candidates; rows that repeat an id are one candidate each, and none is found for its own id; as
+queries, rows that repeat id and vector are one query, and an id with several vectors is a query for each of them; equal
+vectors tie and the smaller id comes first; fewer candidates than k give fewer rows; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-BITS, PARTS, SAMPLE, SHARD, BLOCK, RECALL, SPARE = 64, 4, 4000, 8192, 2048, 0.99, 2
+BITS, PARTS, SAMPLE, SHARD, BLOCK, RECALL, SPARE = 64, 4, 4000, 8192, 32_768, 0.99, 2
 ROUNDS = 20
 _PLACES = np.uint64(1) << (np.uint64(16) * np.arange(4, dtype=np.uint64))
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -144,32 +147,51 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHA
     """query_id, rank, vec_id, score: each query's k nearest rows but its own id. Both inputs as `usable` gives them."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    vectors, queries = materialize(vectors, "ann-vectors"), materialize(queries, "ann-queries")
+    vectors = materialize(vectors.withColumn("row", F.monotonically_increasing_id()), "ann-vectors")
+    queries = materialize(queries.groupBy("vec_id", "v").agg(F.count("*").alias("rows")).withColumn("q", F.monotonically_increasing_id()), "ann-queries")
     # Vectors of the commonest length take part; another length has no inner product with them.
     width = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     if width is None:
         return spark.createDataFrame([], schema)
-    vectors, queries = (x.where(F.size("v") == width["w"]) for x in (vectors, queries))
+    width = width["w"]
+    vectors, queries = (x.where(F.size("v") == width) for x in (vectors, queries))
     model = fit(vectors, k=k)
     shards = max(1, math.ceil(vectors.count() / shard))
     blocks = max(1, math.ceil(queries.count() / block))
     held = spark.sparkContext.broadcast(model)
-    dealt = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    asked = queries.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"))
-
-    def find(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(wanted):
-            coder, radius = held.value
-            index = Index(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy()), coder)
-            q = np.stack(wanted["v"].to_numpy())
-            for query_id, vector, code in zip(wanted["vec_id"], q, coder.codes(q), strict=True):
-                ids, scores = index.nearest(query_id, vector, code, radius, k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = dealt.groupBy("s", "b").cogroup(asked.groupBy("s", "b")).applyInPandas(find, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    none = F.lit(None).cast("long").alias("q")
+    dealt = vectors.select(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), none, "vec_id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("b"), "q", "vec_id", "v")
+
+    def find(batches):
+        coder, radius = held.value
+        key, ids, rows, index = None, [], [], None
+        for batch in batches:
+            s, b = (batch.column(i).to_numpy() for i in (0, 1))
+            q = batch.column(2).fill_null(-1).to_numpy()
+            vec_id, v = batch.column(3).to_numpy(), batch.column(4).flatten().to_numpy().reshape(-1, width)
+            cuts = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (b[1:] != b[:-1]) | ((q[1:] < 0) != (q[:-1] < 0)), True]) if len(s) else []
+            out = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if (s[i], b[i]) != key:
+                    key, ids, rows, index = (s[i], b[i]), [], [], None
+                if q[i] < 0:  # the shard's rows come first
+                    ids.append(vec_id[i:j])
+                    rows.append(v[i:j])
+                    continue
+                if index is None and ids:
+                    index, ids, rows = Index(np.concatenate(ids), np.concatenate(rows), coder), [], []
+                if index is None:
+                    continue
+                for n, code in zip(range(i, j), coder.codes(v[i:j]), strict=True):
+                    near, scores = index.nearest(vec_id[n], v[n], code, radius, k)
+                    out.append((np.full(len(near), q[n]), np.full(len(near), vec_id[n]), near, scores))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["q", "query_id", "vec_id", "score"])
+
+    rows = dealt.unionByName(asked).repartition("s", "b").sortWithinPartitions("s", "b", F.asc_nulls_first("q"))
+    found = rows.mapInArrow(find, "q long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -496,3 +496,20 @@ def test_neighbours_equal_brute_force(spark):
     assert hits >= 0.95 * 600
     none = neighbours.usable(spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>"))
     assert neighbours.search(none, none).count() == 0
+
+
+def test_neighbours_of_repeated_queries_and_extra_columns(spark):
+    rng = np.random.default_rng(8)
+    x = [[float(c) for c in v] for v in rng.normal(size=(120, 8))]
+    rows = [(i, v) for i, v in enumerate(x)] + [(20, x[20]), (20, x[20]), (40, x[41]), (7, x[7])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("s", "b", "q", "v", "row", "rank", "score")})
+    vectors = neighbours.usable(table)
+    found = neighbours.search(vectors, vectors.where("vec_id in (20, 40, 60)"), shard=50, block=1).orderBy("query_id", "rank").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert [len(got[q]) for q in (20, 40, 60)] == [20, 40, 20]
+    for q, vector in ((20, x[20]), (60, x[60])):
+        best = sorted(((float((np.array(v) * np.array(vector)).sum()), i) for i, v in rows if i != q), key=lambda p: (-p[0], p[1]))[:20]
+        assert [(k, i) for k, i, _ in got[q]] == [(k, i) for k, (_, i) in enumerate(best, 1)]
+        assert [c for *_, c in got[q]] == pytest.approx([c for c, _ in best])
