@@ -2,10 +2,11 @@
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]), linear in the number of features.
 Labels are learned from at most SAMPLE labelled rows (those of least hash of the id), never from held-out rows; every
-document is scored, over its whole text. Labels, lang, source and doc_id never enter a score.
+document is scored, over its whole text. The metadata is n_chars: whether it is there, its size, and how far it agrees
+with the text. Labels, lang, source and doc_id never enter a score.
 
-Edge cases: null or empty text is scored like any other, from its length features; rows that repeat an id are scored
-each; if no labelled row may be learned from, or all have one label, scores are that label's smoothed share;
+Edge cases: null or empty text is scored like any other, from its length features; a null n_chars is a value of its own,
+a table without the column counts as one where it agrees; rows that repeat an id are scored each; if no labelled row may be learned from, or all have one label, scores are that label's smoothed share;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -56,7 +57,16 @@ def statistics(text: str, words: list[str]) -> list[float]:
     ]
 
 
-def features(text: str | None, memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def metadata(text: str, n_chars: int | None) -> list[float]:
+    """Shares between 0 and 1: whether n_chars is known, its size, and how far it agrees with the text. -1: not given."""
+    own = len(text)
+    told = own if n_chars == -1 else n_chars
+    if told is None or told < 0:
+        return [float(told is not None), 0.0, 0.0]
+    return [1.0, min(1.0, np.log2(1 + told) / 24), min(own + 1, told + 1) / max(own + 1, told + 1)]
+
+
+def features(text: str | None, memo: dict[str, int], n_chars: int | None = -1) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the non-zero features."""
     text = text or ""
     words = text.split()
@@ -69,7 +79,7 @@ def features(text: str | None, memo: dict[str, int]) -> tuple[np.ndarray, np.nda
             if len(memo) < _MEMO:
                 memo[word] = code
         codes.append(code)
-    stats = np.array(statistics(text, words))
+    stats = np.array(statistics(text, words) + metadata(text, n_chars))
     own = DIM + np.arange(len(stats)) * 16 + np.digitize(stats, BINS)
     index = np.concatenate([np.array(codes, np.int64), own])
     value = np.concatenate([np.full(len(codes), 1 / np.sqrt(max(1, len(codes)))), np.full(len(own), 0.5)])
@@ -115,17 +125,21 @@ class Machine:
 
 
 def training(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """text and y of at most `sample` labelled rows that are not held out. The bounded id list is what is broadcast."""
+    """l_id, text, y and n_chars of at most `sample` labelled rows that are not held out. The bounded id list is what is broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("y"))
     known = known.where(~held_out("l_id")).orderBy(F.xxhash64("l_id"), "l_id", "y").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("l_id", "text", "y")
+    return docs.select("doc_id", "text", _n_chars(docs)).join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("l_id", "text", "y", "n_chars")
+
+
+def _n_chars(docs: DataFrame):
+    return (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(-1).cast("long")).alias("n_chars")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     def run(batches):
         memo: dict[str, int] = {}
         for batch in batches:
-            both = [features(t.as_py(), memo) for t in batch.column(1)]
+            both = [features(t.as_py(), memo, n) for t, n in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
             columns = [batch.column(0), batch.column(2), pa.array([i.astype(np.int32) for i, _ in both], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in both], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "y", "i", "v"])
 
@@ -145,10 +159,10 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
         own.w0, own.w, own.v = held.value
         memo: dict[str, int] = {}
         for batch in batches:
-            scores = [own.score(*features(t.as_py(), memo)) for t in batch.column(1)]
+            scores = [own.score(*features(t.as_py(), memo, n)) for t, n in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text", _n_chars(docs)).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
