@@ -6,7 +6,8 @@ negation or a reporting verb, more with a target, and a threat counts with a tar
 logistic function of its weightiest clause and of the sum of its clauses, fitted with the lexicon.
 
 The insult lexicon is learned from at most SAMPLE labelled rows outside the held-out fold: words and word beginnings
-whose likelihood ratio against the number of candidates tried rules out chance. Every document is scored on its whole
+whose likelihood ratio against the number of candidates tried rules out chance, all of them, so the lexicon is bounded
+by that sample alone. Every document is scored on its whole
 text; labels, lang, source and doc_id never enter a score.
 
 Edge cases: null or empty text has no clause and scores the constant of the fit; rows that repeat an id are scored
@@ -28,7 +29,7 @@ from .common import held_out, materialize, table
 from .near_dedup import shingles
 from .quality import training
 
-SAMPLE, ENTRIES, LEAST = 8000, 5000, 4.0
+SAMPLE, LEAST = 8000, 4.0
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 BREAKS = frozenset(".!?;\n")
 FORMS = (4, 5, 6, 7)
@@ -124,7 +125,7 @@ class Grammar:
         return float(1 / (1 + np.exp(-np.clip(c + a * x + b * y, -35, 35))))
 
 
-def lexicon(rows: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
+def lexicon(rows: DataFrame) -> dict[str, float]:
     """Weights (log ratios) of the forms that mark toxic rows beyond chance."""
 
     def run(batches):
@@ -152,7 +153,7 @@ def lexicon(rows: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
         part = lambda k, p: F.when(k > 0, k * F.log(k / (both * p))).otherwise(0.0)
         ratio = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
         strong = counts.where("term <> '' AND a >= 3").select("term", ratio.alias("w"), (part(a, share) + part(b, 1 - share)).alias("g"))
-        strong = strong.where((F.col("w") > LEAST) & (F.col("g") > float(np.log(max(1, candidates)) + 1))).orderBy(F.desc("g"), "term").limit(entries)
+        strong = strong.where((F.col("w") > LEAST) & (F.col("g") > float(np.log(max(1, candidates)) + 1)))
         found = {r["term"]: r["w"] for r in strong.collect()}
         # Whole words that clean rows use, too, though a marked beginning covers them.
         starts = sorted(t for t in found if not t.endswith("$"))
@@ -160,7 +161,7 @@ def lexicon(rows: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
         for k in FORMS:
             covered = covered | F.substring("term", 1, k).isin([t for t in starts if len(t) == k])
         spared = counts.where(F.col("term").endswith("$") & (F.col("b") >= 2) & covered).select("term", ratio.alias("w"))
-        return found | {r["term"]: max(0.0, r["w"]) for r in spared.orderBy(F.desc("b"), "term").limit(entries).collect() if r["term"] not in found}
+        return found | {r["term"]: max(0.0, r["w"]) for r in spared.collect() if r["term"] not in found}
     finally:
         counts.unpersist()
 

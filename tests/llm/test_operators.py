@@ -416,6 +416,42 @@ def test_classifiers_on_odd_rows(spark):
         assert module.score(docs_of(spark, []), module.fit(docs, none)).count() == 0
 
 
+@pytest.mark.parametrize("name, module, label, cut, least", [("op3_quality", quality, "quality", 0.5, 0.97), ("op9_toxicity", toxicity, "toxic", 0.7, 0.95)])
+def test_classifier_queries_on_held_out_rows(spark, name, module, label, cut, least):
+    """The query's rows against the model read row by row in plain Python, and its decisions against held-out labels."""
+    import os
+    import zlib
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = {r.doc_id: r for r in module.query(spark, d).collect()}
+    model = module.fit(docs, labels)
+    texts = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, (text, n) in texts.items():
+        held = zlib.crc32(str(i).encode()) % 3 == 1
+        score = model.score(*quality.features(text, {}, n)) if module is quality else model.score(text)
+        assert got[i].held_out == held and got[i].score == pytest.approx(score, abs=1e-4) and got[i].predicted == int(got[i].score >= cut)
+    held = [(got[r.doc_id].predicted, r[label]) for r in labels.collect() if r[label] is not None and got[r.doc_id].held_out]
+    assert len(held) > 50 and sum(p == y for p, y in held) >= least * len(held)
+
+
+def test_quality_reads_its_metadata():
+    base = quality.features("some words here", {}, 15)
+    assert [list(quality.features("some words here", {}, n)[0]) == list(base[0]) for n in (-1, None, 3, 1500)] == [True, False, False, False]
+
+
+def test_classifiers_score_rows_that_repeat_an_id(spark):
+    rows = [(i, ("you idiot, go away. " if i % 2 else "a fine day it is. ") * 3, "s") for i in range(60)] + [(1, "a fine day it is. " * 3, None), (None, "you idiot, go away. " * 3, None)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)] * 2, "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        docs = docs_of(spark, rows)
+        got = sorted((str(r.doc_id), r.predicted) for r in module.score(docs, module.fit(docs, labels)).collect())
+        assert len(got) == len(rows) and got[-1] == ("None", 1) and [p for i, p in got if i == "1"] == [0, 1]
+
+
 def test_grammar_weighs_context():
     g = toxicity.Grammar({"idiot$": 4.0})
     weight = lambda t: sum(w for *_, w in g.clauses(t))
