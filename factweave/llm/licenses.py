@@ -40,6 +40,13 @@ SENTENCES = {
     "licensed under cc by 4 0": "cc-by-4.0-grant",
     "licensed under cc by sa 4 0": "cc-by-sa-4.0-grant",
     "all rights reserved": "rights-reserved",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-terms",
+    "either version 2 1 of the license or at your option any later version": "lgpl-2.1-later",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl-terms",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-2.0-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-permission",
+    "provided that the above copyright notice and this permission notice appear in all copies": "isc-notice",
+    "this is free and unencumbered software released into the public domain": "unlicense-grant",
 }
 # Ordered rules, a run of sentence identifiers each.
 RULES = {
@@ -53,15 +60,20 @@ RULES = {
     "CC-BY-4.0": [["cc-by-4.0-grant"]],
     "CC-BY-SA-4.0": [["cc-by-sa-4.0-grant"]],
     "Proprietary": [["rights-reserved"]],
+    "LGPL-2.1": [["lgpl-terms", "lgpl-2.1-later"]],
+    "LGPL-3.0": [["lgpl-terms", "gpl-3.0-later"]],
+    "AGPL-3.0": [["agpl-terms", "gpl-3.0-later"]],
+    "MPL-2.0": [["mpl-2.0-grant"]],
+    "ISC": [["isc-permission", "isc-notice"]],
+    "Unlicense": [["unlicense-grant"]],
 }
-#: Wordings of the licences' own texts beside SENTENCES, which the SQL twin is made of.
+# Wordings of the licences' own texts beside SENTENCES.
 WORDINGS = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-endorse",
 }
 CUT = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n\s*"
 #: Marks in the normalised text: a sentence begins, a line begins.
 SENTENCE, LINE = "\x01", "\x02"
-#: A run of identifiers may hold nothing else between them.
 
 
 def recognise(docs: DataFrame, sentences: dict[str, str] = SENTENCES | WORDINGS, rules: dict[str, list[list[str]]] = RULES) -> DataFrame:
@@ -92,15 +104,22 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = "CASE s " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SENTENCES.items()) + " END"
+    """Runs of known sentences that follow one another from the beginning of a sentence or line, then the sentences in each."""
+    every = SENTENCES | WORDINGS
+    known = "CASE s " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in every.items()) + " END"
     names = ", ".join("CASE WHEN " + " OR ".join(f"contains(p, ',{','.join(run)},')" for run in RULES[name]) + f" THEN '{name}' END" for name in sorted(RULES))
+    cut = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\n\x0B\f\r]*"
+    either = "|".join(s.replace(" ", r"[ \x02]+") for s in sorted(every, key=len, reverse=True))
+    piece = rf"[ \x02]*(?:[0-9]+ )?({either})\b"
     return rf"""
-WITH c AS (SELECT doc_id, row_number() OVER () AS r, regexp_split_to_array(coalesce(text, ''), '[.!?;:,]+[ \t\r\n]+|\n+') AS a FROM documents),
-u AS (SELECT r, unnest(a) AS f, generate_subscripts(a, 1) AS i FROM c),
-m AS (SELECT r, i, trim(regexp_replace(lower(f), '[^a-z0-9]+', ' ', 'g')) AS s FROM u WHERE trim(f, ' ') <> ''),
-k AS (SELECT r, i, {known} AS id FROM m),
-g AS (SELECT r, count(*) AS n, coalesce(string_agg(id, ',' ORDER BY i), '') AS q FROM k GROUP BY r),
-j AS (SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(q, '') AS sequence, ',' || coalesce(q, '') || ',' AS p FROM c LEFT JOIN g USING (r))
+WITH c AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, doc_id, len(list_filter(regexp_split_to_array(t, '{cut}'), lambda x: trim(x, ' ') <> '')) AS n,
+  regexp_replace(translate(regexp_replace(translate(lower(t), chr(1) || chr(2), '  '), '{cut}', chr(1), 'g'), chr(10), chr(2)), '[^a-z0-9\x01\x02]+', ' ', 'g') AS q FROM c),
+u AS (SELECT r, unnest(a) AS run, generate_subscripts(a, 1) AS i FROM (SELECT r, regexp_extract_all(q, '(?:^|[\x01\x02])(?:{piece.replace("(" + either, "(?:" + either)})+') AS a FROM m)),
+v AS (SELECT r, i, unnest(a) AS f, generate_subscripts(a, 1) AS j FROM (SELECT r, i, regexp_extract_all(run, '{piece}', 1) AS a FROM u)),
+k AS (SELECT r, i, j, regexp_replace(f, '[ \x02]+', ' ', 'g') AS s FROM v),
+g AS (SELECT r, string_agg({known}, ',' ORDER BY i, j) AS q FROM k GROUP BY r),
+j AS (SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, coalesce(g.q, '') AS sequence, ',' || coalesce(g.q, '') || ',' AS p FROM m LEFT JOIN g USING (r))
 SELECT doc_id, n_sentences, sequence, concat_ws(',', {names}) AS licenses FROM j
 """
 

@@ -499,6 +499,34 @@ ENDORSE = """
 """
 
 
+LGPL = GPL.replace("GNU General", "GNU Lesser General")
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_licences_in_the_sql_twin(spark):
+    """The twin on the notices, odd rows and sentences in every place; repeated rows and the empty table."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = [APACHE, GPL.format(3), GPL.format(2), MIT, BSD, BSD + ENDORSE, LGPL.format("2.1"), LGPL.format(3), AGPL.format(3), MPL, ISC, APACHE + MIT, "a. " + MIT + BSD, None, "", " ", LONG, "Released under the" + " " * 600 + "MIT License.", "x \x01 y\x02 all rights reserved", "All rights reserved", "1. All rights reserved. 2 All rights reserved\n3) all rights reservedly", "All rights reserved all rights reserved not. All\n\nrights reserved", APACHE]
+    docs = docs_of(spark, [(i, t, None) for i, t in enumerate(texts)] + [(3, MIT, None)])
+    for rows in (docs, docs.limit(0)):
+        frame = rows.select("doc_id", "text").toPandas()
+        con = duckdb.connect()
+        con.register("documents", frame)
+        if not len(frame):
+            con.execute("create or replace temp view documents as select 1::bigint as doc_id, ''::varchar as text where false")
+        want = sorted(con.execute(licenses.SQL).fetchall())
+        got = sorted(tuple(r) for r in licenses.recognise(rows).collect())
+        assert got == want
+
+
 def test_licences_of_real_notices(spark):
     texts = {
         "Apache-2.0": [APACHE, "Some | row |\nLicensed under the Apache License, Version 2.0."],
@@ -507,6 +535,12 @@ def test_licences_of_real_notices(spark):
         "MIT": [MIT],
         "BSD-2-Clause": [BSD],
         "BSD-2-Clause,BSD-3-Clause": [BSD + ENDORSE],
+        "LGPL-2.1": [LGPL.format("2.1")],
+        "LGPL-3.0": [LGPL.format(3)],
+        "AGPL-3.0": [AGPL.format(3)],
+        "MPL-2.0": [MPL],
+        "ISC": [ISC],
+        "MIT,MPL-2.0": [MPL + "\n" + MIT],
         "": ["It is not licensed under the Apache License, Version 2.0.", "Released under the MIT Licenses."],
     }
     rows = [(name, text) for name, some in texts.items() for text in some]
