@@ -319,7 +319,7 @@ def j14_link_norm(spark, d):
     return a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
 
 
-@query("SELECT l_orderkey || '' AS file, 'declare' AS kind, 'n' || l_linenumber AS old_name, 'm' || l_linenumber AS new_name, 'rename' AS change FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber % 2 = 0 GROUP BY ALL")
+@query("SELECT l_orderkey || '' AS file, 'declare' AS kind, 'n' || l_linenumber AS old_name, 'm' || l_linenumber AS new_name, 'rename' AS change FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL")
 def j16_nearest_span(spark, d):
     li = t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), F.lit("declare").alias("kind"), F.col("l_linenumber").alias("n")).distinct()
     old = li.select("file", "kind", F.concat(F.lit("n"), F.col("n").cast("string")).alias("name"), (F.col("n") * 200).cast("long").alias("span"))
