@@ -12,6 +12,7 @@ from .functions import text as fn
 from .operators import graph, lines, sinks, tree
 from .plans.language import parse_json
 from .plans.patterns import allows, compile_pattern
+from .streaming import watch
 
 QUERIES, ORACLES = {}, {}
 
@@ -379,11 +380,13 @@ def k8_rename(spark, d):
     return sinks.renamed(files, moves).select("o_orderkey", "path")
 
 
-@query("SELECT p_partkey || '' AS path, upper(substr(p_name, 1, 3)) || substr(p_name, 4) || '!' AS text FROM part WHERE length(p_name) >= 3")
+@query("SELECT p_partkey || '' AS path, '// é日🙂 ' || upper(substr(p_name, 1, 3)) || substr(p_name, 4) || ' é!' AS text FROM part WHERE length(p_name) >= 3")
 def k14_apply_edits(spark, d):
-    part = t(spark, d, "part").where("length(p_name) >= 3").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_name").alias("text"))
-    edits = part.select("path", F.lit(0).alias("begin"), F.lit(3).alias("end"), F.upper(F.substring("text", 1, 3)).alias("new")).unionByName(part.select("path", F.length("text").alias("begin"), F.length("text").alias("end"), F.lit("!").alias("new")))
-    return graph.apply_edits(part, edits)
+    """Spans in bytes, behind characters of two, three and four bytes."""
+    part = t(spark, d, "part").where("length(p_name) >= 3").select(F.col("p_partkey").cast("string").alias("path"), F.concat(F.lit("// é日🙂 "), F.col("p_name"), F.lit(" é")).alias("text"), F.upper(F.substring("p_name", 1, 3)).alias("new"))
+    begin, end = F.lit(len("// é日🙂 ".encode())), F.octet_length("text")
+    edits = part.select("path", begin.alias("begin"), (begin + 3).alias("end"), "new").unionByName(part.select("path", end.alias("begin"), end.alias("end"), F.lit("!").alias("new")))
+    return graph.apply_edits(part.drop("new"), edits, "byte")
 
 
 # ---- aggregates and sets -------------------------------------------------------------------------------------------
@@ -439,10 +442,8 @@ def a10_window(spark, d):
 
 @query("WITH g AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM g GROUP BY user_id, s")
 def t1_sessions(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = t(spark, d, "events").withColumn("prev", F.lag("ts").over(w))
-    e = e.withColumn("s", F.sum(F.when(F.col("prev").isNull() | (F.col("ts") - F.col("prev") > F.expr("INTERVAL 6 HOUR")), 1).otherwise(0)).over(w))
-    return e.groupBy("user_id", "s").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n")).drop("s")
+    events = t(spark, d, "events").select(F.col("user_id").alias("repo"), F.col("ts").alias("event_ts"))
+    return watch.sessions(events, "6 hours").select(F.col("repo").alias("user_id"), F.col("begins").alias("first_ts"), "n")
 
 
 # ---- scalar functions ----------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from .functions import paths
 from .operators import graph, planning, sinks
 from .operators.extract import extract, facts, tables
 from .plans import sqlgate
-from .plans.language import parse
+from .plans.language import from_json, parse
+from .shared import new_path
 from .streaming import watch
 
 
@@ -328,6 +331,50 @@ def t8_plan_moves(spark, d):
     return planning.plan_moves(_resolved(spark, d), moves).select("path", "new")
 
 
+@query("SELECT 'supplier/s' || s_suppkey || '.ts' AS path, '// é日🙂 ' || s_name || chr(10) || 'import { N' || s_nationkey || ' } from ' || chr(39) || '../moved/n' || s_nationkey || chr(39) || ';' || chr(10) || 'export const é = 1;' AS text FROM supplier WHERE s_nationkey % 2 = 0")
+def t8_moves_applied(spark, d):
+    """From text to facts to plan to text, behind and before characters of several bytes."""
+    text = F.concat(F.lit("// é日🙂 "), F.col("s_name"), F.lit("\nimport { N"), s("n_nationkey"), F.lit(" } from '../nation/n"), s("n_nationkey"), F.lit("';\nexport const é = 1;"))
+    files = blobs(suppliers(spark, d), F.concat(F.lit("supplier/s"), s("s_suppkey"), F.lit(".ts")), text)
+    found = facts(files).where("kind = 'import_path'")
+    found = found.withColumn("target", F.concat(F.replace("value", F.lit("../"), F.lit("")), F.lit(".ts")))
+    n = t(spark, d, "nation").where("n_nationkey % 2 = 0")
+    moves = n.select(F.concat(F.lit("nation/n"), s("n_nationkey"), F.lit(".ts")).alias("old_path"), F.concat(F.lit("moved/n"), s("n_nationkey"), F.lit(".ts")).alias("new_path"))
+    return graph.apply_edits(files.select("path", "text"), planning.plan_moves(found, moves), "byte")
+
+
+@query("SELECT 'f' || n_nationkey AS name, 'part ' || n_name AS label, '//' AS mark FROM nation WHERE n_nationkey % 2 = 0")
+def r3_trailing_comments(spark, d):
+    """Marks in comments behind code and in block comments, none in strings; the label is what stands behind the mark."""
+    k = s("n_nationkey")
+    mark = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("let z = 1; // SECTION: part "), F.col("n_name"))).otherwise("let z = \"// SECTION: no\";")
+    text = F.concat(F.lit("fn before() {}\n"), mark, F.lit("\nfn f"), k, F.lit("() {}\n/* SECTION: end */\nfn after() {}\n"))
+    body = {"rules": [{"name": "q", "context": [["file", "**/*.rs"]], "marker": ["SECTION:", None, "LABEL"], "line": "re:^fn $NAME\\("}]}
+    rows = extract(blobs(nations(spark, d), F.concat(F.lit("src/n"), k, F.lit(".rs")), text), from_json(json.dumps(body)).rules)
+    rows = rows.select(F.col("captures")["NAME"].alias("name"), F.col("captures")["LABEL"].alias("label"))
+    return rows.where("label LIKE 'part %'").withColumn("mark", F.lit("//"))
+
+
+@query("SELECT 'r' AS repo, 'supplier/s' || s_suppkey || '.ts' AS path, 'export_name' AS kind, 'S' || s_suppkey AS old_name, 'T' || s_suppkey AS new_name, 'rename' AS change FROM supplier WHERE s_suppkey % 3 = 0")
+def t6_declaration_diff(spark, d):
+    before = _js(spark, d)
+    key = F.regexp_extract("path", r"s(\d+)\.ts$", 1)
+    after = before.withColumn("text", F.when(key.cast("long") % 3 == 0, F.replace("text", F.concat(F.lit("const S"), key), F.concat(F.lit("const T"), key))).otherwise(F.col("text")))
+    changes = before.select("repo", F.lit("content_change").alias("change_type"), F.col("path").alias("new_path"))
+    return watch.declaration_changes(changes, before, after)
+
+
+@query("SELECT s_nationkey || '' AS repo, s_suppkey FROM supplier WHERE s_nationkey % 3 <> 0 OR s_nationkey % 2 = 0 AND s_suppkey % 2 = 0")
+def k1_rescan(spark, d):
+    """Two scans into one table: the second has fewer rows in some partitions and none any more in others."""
+    path = new_path(spark, "rescan")
+    every = t(spark, d, "supplier").select(s("s_nationkey").alias("repo"), F.lit("main").alias("rev"), "s_suppkey")
+    sinks.write_rows(every, path)
+    again = every.where("repo % 3 = 0")
+    sinks.write_rows(again.where("repo % 2 = 0 AND s_suppkey % 2 = 0"), path, again)
+    return spark.read.schema(every.schema).parquet(path).select("repo", "s_suppkey")
+
+
 @query("SELECT 'nation/n' || s_nationkey || '.ts' AS target, count(*) AS broken FROM supplier WHERE s_nationkey < 10 GROUP BY s_nationkey")
 def t10_broken_imports(spark, d):
     gone = t(spark, d, "nation").where("n_nationkey < 10").select(F.concat(F.lit("nation/n"), s("n_nationkey"), F.lit(".ts")).alias("path"))
@@ -344,13 +391,18 @@ def t9_plan_rename(spark, d):
 
 @query("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = s_nationkey AND n_regionkey < 3) AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey)")
 def j9_relay(spark, d):
-    sup = t(spark, d, "supplier")
-    return sup.join(t(spark, d, "nation").where("n_regionkey < 3"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").join(t(spark, d, "customer"), F.col("c_nationkey") == F.col("s_nationkey"), "left_semi").select("s_suppkey")
+    file = F.col("s_nationkey").alias("path")
+    imports = t(spark, d, "supplier").select(file, F.col("s_nationkey").alias("name"), F.lit("core").alias("target"), "s_suppkey")
+    wanted = t(spark, d, "nation").where("n_regionkey < 3").select(F.lit("core").alias("target"), F.col("n_nationkey").alias("name"))
+    exports = t(spark, d, "customer").select(F.col("c_nationkey").alias("path"), F.col("c_nationkey").alias("name"))
+    return graph.relays(imports, wanted, exports).select("s_suppkey")
 
 
 @query("SELECT s_nationkey AS nation, min(s_name) AS first FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey) GROUP BY s_nationkey")
 def j10_upstream(spark, d):
-    return t(spark, d, "supplier").join(t(spark, d, "customer"), F.col("c_nationkey") == F.col("s_nationkey"), "left_semi").groupBy(F.col("s_nationkey").alias("nation")).agg(F.min("s_name").alias("first"))
+    imports = t(spark, d, "supplier").select(F.col("s_name").alias("path"), F.lit("N").alias("name"), F.col("s_nationkey").alias("target"))
+    exports = t(spark, d, "customer").select(F.col("c_nationkey").alias("path"), F.lit("N").alias("name"))
+    return graph.upstream(imports, exports).select(F.col("target").alias("nation"), "first")
 
 
 @query("SELECT 'm' || o_orderkey AS new_path, 'o' || o_orderkey AS old_path FROM orders WHERE o_orderkey % 10 = 1")

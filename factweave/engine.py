@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from .operators import graph, sinks
 from .operators.extract import extract, facts, tables, views
 from .plans import language, sqlgate
 from .plans.language import Program
+from .shared import read_small, remove, write_small
 
 
 class Engine:
@@ -54,20 +54,23 @@ class Engine:
         return sqlgate.run_checks(self.spark, chosen)
 
     def save(self, blobs: DataFrame, program: Program, path: str, manifest_path: str) -> dict[str, str]:
-        """Write each rule's rows by (repo, rev); rules whose hashes have not changed keep theirs for unseen partitions."""
-        before = {}
-        if os.path.exists(manifest_path):
-            with open(manifest_path) as f:
-                before = {k: tuple(v) for k, v in json.load(f).items()}
+        """Write each rule's rows by (repo, rev); rules whose hashes have not changed keep theirs for unseen partitions.
+
+        Scanned partitions that have no rows any more are deleted, and so are the tables of rules that are gone.
+        """
+        told = read_small(self.spark, manifest_path)
+        before = {k: tuple(v) for k, v in json.loads(told).items()} if told else {}
         after = language.hashes(program)
         actions = sinks.migration(before, after)
+        scanned = blobs.select("repo", "rev").distinct()
         for name, df in tables(blobs, program).items():
             if actions[name] in ("rebuild", "empty", "create"):
                 df.write.mode("overwrite").partitionBy("repo", "rev").parquet(f"{path}/{name}")
             else:
-                sinks.write_rows(df, f"{path}/{name}")
-        with open(manifest_path, "w") as f:
-            f.write(sinks.manifest(after))
+                sinks.write_rows(df, f"{path}/{name}", scanned)
+        for name in (name for name, action in actions.items() if action == "drop"):
+            remove(self.spark, f"{path}/{name}")
+        write_small(self.spark, manifest_path, sinks.manifest(after))
         return actions
 
     def demand_scan(self, seed: DataFrame, read, program: Program, rule: str, local: DataFrame, exclude: DataFrame | None = None) -> DataFrame:

@@ -19,12 +19,33 @@ OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, set(")]}")
 HASHED = {"py", "python", "rb", "sh", "yaml", "yml", "toml"}
 
 
-def tokens(text: str, lang: str = "") -> list[tuple[str, str, int]]:
-    """(kind, text, offset), without spaces and comments."""
-    out, at = [], 0
+class Tokens(list):
+    """(kind, text, offset) of each token; beyond the last one an empty token at the text's end, for files that break off."""
+
+    def __init__(self, text: str):
+        super().__init__()
+        self.end = ("end", "", len(text))
+
+    def __getitem__(self, i):
+        return self.end if isinstance(i, int) and i >= len(self) else super().__getitem__(i)
+
+
+def comment_spans(text: str, lang: str) -> list[tuple[int, int]]:
+    """(begin, end) of each comment, wherever it stands in its line; marks inside strings are none."""
+    out: list[tuple[int, int]] = []
+    tokens(text, lang, out)
+    return out
+
+
+def tokens(text: str, lang: str = "", comments: list | None = None) -> Tokens:
+    """Tokens without spaces and comments; the spans of the latter go to `comments`."""
+    out, at = Tokens(text), 0
     while at < len(text):
         if lang in HASHED and text[at] == "#":
-            at = HASH_COMMENT.match(text, at).end()
+            end = HASH_COMMENT.match(text, at).end()
+            if comments is not None:
+                comments.append((at, end))
+            at = end
             continue
         if lang in ("rs", "rust") and text[at] == "'" and (m := re.compile(r"'[a-z_]\w*(?!')").match(text, at)):
             out.append(("word", m[0], at))  # a lifetime
@@ -36,10 +57,17 @@ def tokens(text: str, lang: str = "") -> list[tuple[str, str, int]]:
             continue
         if m.lastgroup not in ("space", "comment"):
             out.append((m.lastgroup, m[0], at))
+        elif m.lastgroup == "comment" and comments is not None:
+            comments.append((at, m.end()))
         at = m.end()
     return out
 
 
+def _after(toks, i: int) -> int:
+    """As _group_end; a group that is never closed, or nothing, ends with the file."""
+    return _group_end(toks, i) or len(toks)
+
+
 def _group_end(toks, i: int) -> int | None:
     """Index after the token or balanced group that begins at i."""
     if i >= len(toks) or toks[i][1] in CLOSE:
@@ -222,7 +250,13 @@ def js_facts(text: str):
         if t == "require" and depth == 0 and previous != "." and word(i + 1) == "(" and i + 2 < len(toks) and toks[i + 2][0] == "string" and word(i + 3) == ")":
             out.append(("import_path", *bare(toks[i + 2]), None))
         i += 1
-    return out
+    return [fact for fact in out if fact[1]]
+
+
+def _rooted(path: list[str]) -> list[str]:
+    """A use path without the `self` and `super` that it begins with."""
+    k = next((k for k, part in enumerate(path) if part not in ("self", "super")), len(path))
+    return path[k:]
 
 
 def rust_facts(text: str):
@@ -241,12 +275,12 @@ def rust_facts(text: str):
             elif t == "{":
                 i += 1
                 while i < len(toks) and word(i) != "}":
-                    i = use_tree(i, path)
+                    i = max(use_tree(i, path), i + 1)  # what is no path is passed over
                     if word(i) == ",":
                         i += 1
                 return i + 1
             elif t == "*":
-                out.append(("rs_use", "::".join([*path, "*"]), *site(begin), None))
+                out.append(("rs_use", "::".join([*_rooted(path), "*"]), *site(begin), None))
                 return i + 1
             elif toks[i][0] == "word":
                 # `self` in a group is the group itself
@@ -256,7 +290,7 @@ def rust_facts(text: str):
                 if word(i) == "as":
                     i += 2
                 if word(i) != "::":
-                    out.append(("rs_use", "::".join(path), *site(begin), None))
+                    out.append(("rs_use", "::".join(_rooted(path)), *site(begin), None))
                     return i
             else:
                 return i
@@ -274,9 +308,9 @@ def rust_facts(text: str):
         if t == "#" and word(i + 1) == "[":
             if word(i + 2) == "path" and word(i + 3) == "=":
                 held = word(i + 4)[1:-1]
-                j = _group_end(toks, i + 1)
+                j = _after(toks, i + 1)
                 while word(j) in ("pub", "("):
-                    j = _group_end(toks, j)
+                    j = _after(toks, j)
                 if word(j) == "mod":
                     out.append(("rs_mod", word(j + 1), *site(j + 1), held))
                     i = j + 2
@@ -317,4 +351,4 @@ def rust_facts(text: str):
                 i = j + 1
                 continue
         i += 1
-    return out
+    return [fact for fact in out if fact[1]]

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
-from ..plans.language import Program, Rule, captures, levels, variables
+from ..plans.language import Program, Rule, RuleError, captures, levels, variables
 from ..plans.patterns import compile_pattern, line_pattern
+from ..shared import new_path
 from .code import js_facts, rust_facts, structural
-from .regions import elements, heading_regions, line_matches, markers
+from .regions import elements, heading_regions, labelled, line_matches
 from .tree import load, walk
 
 TREE = {"json", "yaml", "yml", "toml"}
@@ -54,11 +56,12 @@ def _folder(pattern: str, path: str):
     return None
 
 
-def regions(rule: Rule, text: str):
-    """(begin, end, captures). Where no region is found the whole text passes."""
+def regions(rule: Rule, text: str, ext: str = ""):
+    """(begin, end, captures). Where no region is found the whole text passes. A marker's third part names its label's capture."""
     spans = [(0, len(text), {})]
     if rule.marker:
-        spans = [(b, e, {}) for b, e in markers(text, *rule.marker[:2])] or spans
+        opening, closing, label = [*rule.marker, None, None][:3]
+        spans = [(b, e, {label: found} if label else {}) for b, e, found in labelled(text, opening, closing, ext)] or spans
     for heading in rule.headings:
         inner = [(b + x, b + y, caps | more) for b, e, caps in spans for x, y, more in heading_regions(text[b:e], heading)]
         spans = inner or spans
@@ -69,7 +72,7 @@ def evaluate(rule: Rule, text: str, path: str, seeds: dict[str, str], docs: dict
     """(captures with offsets or -1, node path) of one rule over one file."""
     ext = path.rpartition(".")[2].lower() if "." in path.rpartition("/")[2] else ""
     plain = lambda caps: {n: (v, -1, -1) for n, v in caps.items()}
-    for begin, end, caps in regions(rule, text):
+    for begin, end, caps in regions(rule, text, ext):
         body = text[begin:end]
         moved = lambda found: {n: (v, begin + b if b >= 0 else b, begin + e if e >= 0 else e) for n, (v, b, e) in found.items()}
         rows: list[tuple[dict, str]] = []
@@ -116,6 +119,15 @@ def _wanted(path, rules: list[Rule]):
     return reduce(lambda a, b: a | b, each) if each else F.lit(False)
 
 
+def byte_offsets(text: str):
+    """The offset in bytes of UTF-8 of each place in a text, from one pass over it."""
+    if text.isascii():
+        return lambda i: min(i, len(text))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sums = np.r_[0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))]
+    return lambda i: int(sums[min(i, len(text))])
+
+
 def extract(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per match of each rule. blobs: repo, rev, tags, path, text."""
 
@@ -128,6 +140,7 @@ def extract(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
                 name = path.rpartition("/")[2]
                 seeds = {"currentRepo": repo or "", "currentRev": rev or "", "currentFile": path, "currentDir": path.rpartition("/")[0], "currentStem": name.rpartition(".")[0] or name, "currentExt": name.rpartition(".")[2] if "." in name else ""}
                 docs: dict = {}
+                bytes_of = None
                 for rule in rules:
                     context = _context(rule, repo, rev, tags, path)
                     if context is None:
@@ -137,7 +150,7 @@ def extract(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
                         if not caps and rule.columns:
                             continue
                         spans = {n: (b, e) for n, (_, b, e) in caps.items() if b >= 0}
-                        bytes_of = lambda i: len(text[:i].encode())  # noqa: B023, E731
+                        bytes_of = bytes_of or byte_offsets(text)
                         out.append((rule.name, repo, rev, path, [(n, v) for n, (v, *_) in caps.items()], [(n, {"begin": bytes_of(b), "end": bytes_of(e)}) for n, (b, e) in spans.items()], node_path))
             if out:
                 yield _batch(out, ["rule", "repo", "rev", "path", "captures", "spans", "node_path"], [pa.string()] * 4 + [pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.struct([("begin", pa.int32()), ("end", pa.int32())])), pa.string()])
@@ -158,8 +171,9 @@ def facts(blobs: DataFrame) -> DataFrame:
             out = []
             for repo, rev, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 find = rust_facts if path.endswith(".rs") else js_facts
+                bytes_of = byte_offsets(text)
                 for kind, value, begin, end, parent in find(text):
-                    out.append((kind, value, repo, rev, path, len(text[:begin].encode()), len(text[:end].encode()), parent))
+                    out.append((kind, value, repo, rev, path, bytes_of(begin), bytes_of(end), parent))
             if out:
                 yield _batch(out, ["kind", "value", "repo", "rev", "path", "span_start", "span_end", "parent_key"], [pa.string()] * 5 + [pa.int32()] * 2 + [pa.string()])
 
@@ -170,9 +184,10 @@ def facts(blobs: DataFrame) -> DataFrame:
 def tables(blobs: DataFrame, program: Program) -> dict[str, DataFrame]:
     """A DataFrame per rule: its captures as columns, then repo, rev, path, node_path.
 
-    A rule that refers to another is joined with it on the captures they share; levels run in order.
+    A rule that refers to another is joined with it on the captures they share; levels run in order. Files are parsed once
+    for all rules: the rows go to the shared folder, a folder per rule, and each rule reads its own.
     """
-    rows = extract(blobs, program.rules)
+    rows = by_rule(extract(blobs, program.rules))
     out: dict[str, DataFrame] = {}
     for level in levels(program):
         for name in level:
@@ -185,13 +200,22 @@ def tables(blobs: DataFrame, program: Program) -> dict[str, DataFrame]:
                 # A capture that the body does not bind takes the value of the rule it refers to.
                 bound = {v for v in bindings.values() if any(v in _own(r) for r in program.rules if r.name == name)}
                 on = reduce(lambda a, b: a & b, [F.col(v.lower()) == F.col(f"up_{v.lower()}") for v in bound], F.lit(True))
-                base = base.join(given, on) if bound else base.crossJoin(given)
+                if not bound:
+                    raise RuleError(f"{name}: binds no capture of {up}, so every row would meet every row")
+                base = base.join(given, on)
                 for v in bindings.values():
                     base = base.withColumn(v.lower(), F.coalesce(F.col(v.lower()), F.col(f"up_{v.lower()}"))).drop(f"up_{v.lower()}")
             out[name] = base
     return out
 
 
+def by_rule(rows: DataFrame) -> DataFrame:
+    spark = rows.sparkSession
+    path = new_path(spark, "extracted")
+    rows.write.partitionBy("rule").option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def _own(rule: Rule) -> set[str]:
     """Captures that the rule's own steps bind, not only a reference."""
     bound = {v for _, b in rule.refs for v in b.values()}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from itertools import groupby
 
@@ -11,17 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written to shared storage and read back, so that rounds do not pile up lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rounds-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import settled
 
 
 def fixpoint(seed: DataFrame, expand: Callable[[DataFrame], DataFrame], most: int = 100) -> DataFrame:
@@ -37,7 +25,10 @@ def fixpoint(seed: DataFrame, expand: Callable[[DataFrame], DataFrame], most: in
 
 
 def scan_rounds(seed: DataFrame, discover: Callable[[DataFrame], DataFrame], local: DataFrame, exclude: DataFrame | None = None, most: int = 10) -> DataFrame:
-    """(repo, rev, round) of each scan. Every tried pair is logged before it is scanned, so none is tried again."""
+    """(repo, rev, round) of each scan. Every tried pair is logged before it is scanned, so none is tried again.
+
+    Pairs that are found in round `most` are still returned; if they lead on, RuntimeError says so instead of leaving them out.
+    """
     tried = settled(seed.select("repo", "rev").distinct().withColumn("round", F.lit(0)))
     front = tried
     for k in range(1, most + 1):
@@ -46,20 +37,33 @@ def scan_rounds(seed: DataFrame, discover: Callable[[DataFrame], DataFrame], loc
             new = new.join(exclude.select("rev").distinct(), "rev", "left_anti")
         front = settled(new.join(tried, ["repo", "rev"], "left_anti").withColumn("round", F.lit(k)).select("repo", "rev", "round"))
         if front.isEmpty():
-            break
+            return tried
         tried = tried.unionByName(front)
-    return tried
+    raise RuntimeError(f"scans go on after {most} rounds")
 
 
 def chain_root(edges: DataFrame, depth: int = 50) -> DataFrame:
-    """(node, root, depth): the end of each node's parent chain. Edges are (child, parent); circles end at `depth`."""
-    view = f"edges_{uuid.uuid4().hex}"
-    edges.select("child", "parent").createOrReplaceTempView(view)
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up(node, root, depth) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT child, parent, 1 FROM {view}
-          UNION ALL SELECT u.node, e.parent, u.depth + 1 FROM up u JOIN {view} e ON e.child = u.root WHERE u.depth < {depth})
-        SELECT node, max_by(root, depth) AS root, max(depth) AS depth FROM up GROUP BY node""")
+    """(node, root, depth): the end of each node's parent chain. Edges are (child, parent); circles end at `depth`.
+
+    Pointer doubling: log2(depth) rounds, each a join of the rows with themselves. Of several parents, the way that leads
+    farthest counts.
+    """
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        go = second.select(F.col("node").alias("n_"), F.col("root").alias("r_"), F.col("depth").alias("d_"))
+        rows = first.join(go, F.col("root") == F.col("n_"), "left")
+        rows = rows.select("node", F.coalesce("r_", "root").alias("root"), (F.col("depth") + F.coalesce("d_", F.lit(0))).alias("depth"))
+        return settled(rows.groupBy("node", "root").agg(F.max("depth").alias("depth")), "chains")
+
+    leap = edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").alias("node"), F.col("parent").alias("root"), F.lit(1).alias("depth")).distinct()
+    found, left = None, depth
+    while left:
+        if left % 2:
+            found = leap if found is None else then(found, leap)
+        left //= 2
+        if left:
+            leap = then(leap, leap)
+    return found.groupBy("node").agg(F.max_by("root", F.struct("depth", "root")).alias("root"), F.max("depth").alias("depth"))
 
 
 def unscanned(wanted: DataFrame, have: DataFrame, keys: list[str], normed: list[str] = ()) -> DataFrame:
@@ -159,6 +163,18 @@ def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame |
     return out.drop("row_")
 
 
+def relays(imports: DataFrame, wanted: DataFrame, exports: DataFrame) -> DataFrame:
+    """Imports (path, name, target) of a wanted name (target, name) whose file exports that name (path, name) on."""
+    hit = imports.join(wanted.select("target", "name").distinct(), ["target", "name"], "left_semi")
+    return hit.join(exports.select("path", "name").distinct(), ["path", "name"], "left_semi").select(*imports.columns)
+
+
+def upstream(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """target, name, first (least path of the files that import it) of the names that files import and their targets export."""
+    there = exports.select(F.col("path").alias("target"), "name").distinct()
+    return imports.join(there, ["target", "name"], "left_semi").groupBy("target", "name").agg(F.min("path").alias("first"))
+
+
 def rename_edits(facts: DataFrame, path: str, old: str, new: str) -> DataFrame:
     """Edits (path, old, new) for a renamed export, through re-exports; an alias ends the chain.
 
@@ -179,16 +195,22 @@ def rename_edits(facts: DataFrame, path: str, old: str, new: str) -> DataFrame:
     return edits.select("path", F.col("name").alias("old"), F.lit(new).alias("new")).distinct()
 
 
-def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """path, text after all edits (path, begin, end, new) in code points; overlapping or outlying edits leave null."""
+def apply_edits(files: DataFrame, edits: DataFrame, unit: str = "codepoint") -> DataFrame:
+    """path, text after all edits (path, begin, end, new). unit: what spans count, "codepoint", or "byte" as in facts and plans.
+
+    Overlapping or outlying edits, and edits that would cut a character in two, leave null.
+    """
     per = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "new"))).alias("e"))
+    kind = {"codepoint": "string", "byte": "binary"}[unit]
+    raw, size = F.col("raw"), F.length("raw")
 
     def splice(acc, e):
-        good = acc["ok"] & (e["begin"] >= acc["at"]) & (e["end"] >= e["begin"]) & (e["end"] <= F.length(F.col("text")))
-        piece = F.substring(F.col("text"), acc["at"] + 1, e["begin"] - acc["at"])
-        return F.struct(e["end"].alias("at"), F.concat(acc["out"], piece, e["new"]).alias("out"), good.alias("ok"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(True).alias("ok"))
-    joined = files.join(per, "path").withColumn("done", F.aggregate("e", zero, splice))
-    rest = F.substring(F.col("text"), F.col("done.at") + 1, F.length("text"))
-    return joined.select("path", F.when(F.col("done.ok"), F.concat(F.col("done.out"), rest)).alias("text"))
+        good = acc["ok"] & (e["begin"] >= acc["at"]) & (e["end"] >= e["begin"]) & (e["end"] <= size)
+        piece = F.substring(raw, acc["at"] + 1, e["begin"] - acc["at"])
+        return F.struct(e["end"].cast("int").alias("at"), F.concat(acc["out"], F.array(piece, e["new"].cast(kind))).alias("out"), good.alias("ok"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"), F.lit(True).alias("ok"))
+    joined = files.join(per, "path").withColumn("raw", F.col("text").cast(kind)).withColumn("done", F.aggregate("e", zero, splice))
+    rest = F.substring(raw, F.col("done.at") + 1, size)
+    whole = F.aggregate(F.concat("done.out", F.array(rest)), F.lit("").cast(kind), lambda a, x: F.concat(a, x)).cast("string")
+    return joined.select("path", F.when(F.col("done.ok") & F.is_valid_utf8(whole), whole).alias("text"))

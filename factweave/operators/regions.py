@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..plans.patterns import _VAR, line_pattern
+from .code import comment_spans
 
 COMMENT = re.compile(r"^\s*(//|#|--|/\*|\*|<!--)")
 HEADING = re.compile(r"^\s*(#{1,6})(?: (.*)|$)")
@@ -22,27 +23,39 @@ def lines_of(text: str, begin: int = 0):
         at = stop + 1
 
 
-def comments(text: str) -> list[tuple[int, int, str]]:
-    """(begin, end, text) of each comment line."""
+#: Languages whose comments the lexer knows, by ending.
+LEXED = {"js", "jsx", "ts", "tsx", "mjs", "cjs", "mts", "cts", "rs", "go", "java", "c", "h", "cpp", "cc", "hpp", "cs", "kt", "swift", "scala", "py", "rb", "sh", "toml", "yaml", "yml"}
+
+
+def comments(text: str, lang: str = "") -> list[tuple[int, int, str]]:
+    """(begin, end, text) of each comment: by the lexer for known languages, else lines that begin like one."""
+    if lang in LEXED:
+        return [(b, e, text[b:e]) for b, e in comment_spans(text, lang)]
     return [(at, at + len(line), line) for at, line in lines_of(text) if COMMENT.match(line)]
 
 
-def markers(text: str, opening: str, closing: str | None = None) -> list[tuple[int, int]]:
-    """Regions between marked comments: up to the next mark or the end, or paired as by a stack."""
-    found = comments(text)
+def labelled(text: str, opening: str, closing: str | None = None, lang: str = "") -> list[tuple[int, int, str]]:
+    """(begin, end, label) of the regions between marked comments; the label is what stands behind the mark."""
+    found = comments(text, lang)
+    mark = lambda c: re.search(opening, c)
     if closing is None:
-        starts = [(b, e) for b, e, c in found if re.search(opening, c)]
-        return [(e, starts[i + 1][0] if i + 1 < len(starts) else len(text)) for i, (_, e) in enumerate(starts)]
+        starts = [(b, e, c[m.end() :].strip()) for b, e, c in found if (m := mark(c))]
+        return [(e, starts[i + 1][0] if i + 1 < len(starts) else len(text), label) for i, (_, e, label) in enumerate(starts)]
     out, stack = [], []
     for b, e, c in found:
-        if re.search(opening, c):
-            stack.append((b, e))
+        if m := mark(c):
+            stack.append((b, e, c[m.end() :].strip()))
         elif re.search(closing, c) and stack:
-            _, begin = stack.pop()
-            out.append((begin, b))
+            _, begin, label = stack.pop()
+            out.append((begin, b, label))
     return sorted(out + stack)
 
 
+def markers(text: str, opening: str, closing: str | None = None, lang: str = "") -> list[tuple[int, int]]:
+    """Regions between marked comments: up to the next mark or the end, or paired as by a stack."""
+    return [(b, e) for b, e, _ in labelled(text, opening, closing, lang)]
+
+
 def heading_regions(text: str, heading: str) -> list[tuple[int, int, dict[str, str]]]:
     """Regions under headings of exactly this level, up to the next of this level or above."""
     m = re.match(r"(#{1,6})\s*(.*)$", heading.strip())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm, norm2
+from ..shared import remove
 
 
 def strings(values: DataFrame, suffixes: list[str] = ()) -> DataFrame:
@@ -46,9 +47,21 @@ def search(rows: DataFrame, column: str, term: str, order: list[str], limit: int
     return rows.where(F.contains(norm(F.col(column)), F.lit(plain))).orderBy(*order).limit(limit)
 
 
-def write_rows(rows: DataFrame, path: str) -> None:
-    """Replace the (repo, rev) partitions that `rows` has; running it again changes nothing."""
+def write_rows(rows: DataFrame, path: str, scanned: DataFrame | None = None) -> None:
+    """Replace the (repo, rev) partitions of `scanned` (default: those of `rows`); running it again changes nothing.
+
+    Partitions that were scanned and have no rows any more are deleted.
+    """
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "rev").parquet(path)
+    if scanned is None:
+        return
+    spark = rows.sparkSession
+    pairs = rows.select(F.col("repo").alias("p_"), F.col("rev").alias("v_")).distinct()
+    gone = scanned.select("repo", "rev").distinct().join(pairs, F.col("repo").eqNullSafe(F.col("p_")) & F.col("rev").eqNullSafe(F.col("v_")), "left_anti")
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    folder = lambda key, value: f"{key}=" + ("__HIVE_DEFAULT_PARTITION__" if value in (None, "") else named.escapePathName(value))
+    for r in gone.toLocalIterator():
+        remove(spark, f"{path}/{folder('repo', r['repo'])}/{folder('rev', r['rev'])}")
 
 
 def migration(before: dict, after: dict) -> dict[str, str]:

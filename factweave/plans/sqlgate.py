@@ -13,15 +13,33 @@ class Refused(ValueError):
     """A statement that may not run."""
 
 
-def gate(text: str) -> str:
-    body = text.strip().removesuffix(";").strip()
-    if ";" in re.sub(r"'(?:[^']|'')*'", "", body):
-        raise Refused("one statement only")
+def gate(text: str, spark: SparkSession | None = None) -> str:
+    """The statement, if it is a single one that only reads: its parsed plan may hold no command and no insert."""
+    body = re.sub(r"^(\s+|--[^\n]*(\n|$)|/\*[\s\S]*?\*/)+", "", text).strip().removesuffix(";").strip()
     if not re.match(r"(?is)(select|with|explain)\b", body):
         raise Refused("only SELECT, WITH and EXPLAIN may run")
+    spark = spark or SparkSession.getActiveSession()
+    jvm = spark._jvm
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r"(?is)^explain\s+(extended|codegen|cost|formatted)?\b", "", dialect(body)))
+    except Exception as e:
+        raise Refused(f"not one statement that can be read: {str(e).splitlines()[0]}") from None
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    writes = [jvm.java.lang.Class.forName(logical + name) for name in ("Command", "ParsedStatement")]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if any(kind.isInstance(node) for kind in writes):
+            raise Refused("only statements that read may run")
+        for below in (node.children(), node.innerChildren()):
+            todo += [child for k in range(below.length()) if _is_plan(jvm, child := below.apply(k))]
     return body
 
 
+def _is_plan(jvm, node) -> bool:
+    return jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(node)
+
+
 def dialect(text: str) -> str:
     """LIKE without regard to case, GROUP_CONCAT and GLOB, outside string literals."""
     parts = re.split(r"('(?:[^']|'')*')", text)
@@ -38,7 +56,7 @@ def dialect(text: str) -> str:
 
 
 def sql(spark: SparkSession, text: str) -> DataFrame:
-    return spark.sql(dialect(gate(text)))
+    return spark.sql(dialect(gate(text, spark)))
 
 
 def run_check(spark: SparkSession, name: str, text: str) -> DataFrame:

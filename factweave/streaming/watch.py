@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.extract import facts
+from ..operators.graph import nearest_spans
+
 EVENTS = "event_ts timestamp, repo string, op string, path string, content_hash string"
 #: Parts of paths whose events are dropped.
 IGNORED = ["node_modules", ".git", "target", "dist", "build", "__pycache__"]
@@ -47,6 +50,25 @@ def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(new)
 
 
+#: Kinds of facts that are declarations.
+DECLARED = ["export_name", "rs_declare", "rs_mod", "import_name"]
+
+
+def declaration_changes(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """repo, path, kind, old_name, new_name, change of the declarations in files whose content changed.
+
+    before, after: blobs (repo, rev, path, text) of the two states; only changed files are parsed.
+    """
+    touched = changes.where("change_type = 'content_change'").select("repo", F.col("new_path").alias("path")).distinct()
+
+    def spans(blobs: DataFrame) -> DataFrame:
+        found = facts(blobs.join(touched, ["repo", "path"], "left_semi")).where(F.col("kind").isin(DECLARED))
+        return found.select(F.to_json(F.struct("repo", "path")).alias("file"), "kind", F.col("value").alias("name"), F.col("span_start").cast("long").alias("span"))
+
+    found = nearest_spans(spans(before), spans(after)).withColumn("f_", F.from_json("file", "repo string, path string"))
+    return found.select("f_.repo", "f_.path", "kind", "old_name", "new_name", "change")
+
+
 def watch(events: DataFrame, files_path: str, out_path: str, checkpoint: str, paused=lambda: False):
     """Start the query: each batch is classified against the index at `files_path`, changes go to `out_path`.
 

@@ -70,6 +70,16 @@ def test_chain_root_ends_in_circles(spark):
     assert got["a"] == ("c", 2) and got["b"] == ("c", 1) and got["x"][1] == 10
 
 
+def test_chain_root_of_a_million_edges(spark):
+    """A thousand chains of a thousand, cut at fifty; a star; several parents."""
+    edges = spark.range(1_000_000).where("id % 1000 < 999").select(F.col("id").alias("child"), (F.col("id") + 1).alias("parent"))
+    got = graph.chain_root(edges)
+    assert got.count() == 999_000 and got.where("root <> node + depth OR depth <> least(50, 999 - node % 1000)").count() == 0
+    wide = spark.createDataFrame([(i, 0) for i in range(1, 300)] + [(0, -1), (500, 1), (500, -1)], "child long, parent long")
+    rows = {r.node: (r.root, r.depth) for r in graph.chain_root(wide).collect()}
+    assert rows[0] == (-1, 1) and rows[7] == (-1, 2) and rows[500] == (-1, 3)
+
+
 def test_rename_edits_pass_barrels_and_stop_at_aliases(spark):
     df = lambda rows: spark.createDataFrame(rows, "path string, name string, alias string, target string, reexport boolean")
     two = df([("b1", "Foo", None, "utils", True), ("b2", "Foo", None, "b1", True), ("app", "Foo", None, "b2", False)])
@@ -98,6 +108,21 @@ def test_apply_edits(spark):
     assert {r.path: r.text for r in graph.apply_edits(files, edits).collect()} == {"a": "Héllo you", "b": None}
 
 
+def test_apply_edits_in_bytes(spark):
+    text = "é日🙂 old é"
+    files = spark.createDataFrame([("a", text), ("b", text), ("c", text), ("d", "")], "path string, text string")
+    end = len(text.encode())
+    edits = spark.createDataFrame([("a", 10, 13, "neu日"), ("a", 0, 2, ""), ("a", end, end, "!"), ("b", 1, 2, "x"), ("c", 0, end + 1, "x"), ("d", 0, 0, "new")], "path string, begin int, end int, new string")
+    assert {r.path: r.text for r in graph.apply_edits(files, edits, "byte").collect()} == {"a": "日🙂 neu日 é!", "b": None, "c": None, "d": "new"}
+
+
+def test_scan_rounds_say_when_they_do_not_end(spark):
+    step = lambda pairs: pairs.select("repo", F.concat("rev", F.lit("x")).alias("rev"))
+    seed = spark.createDataFrame([("r", "v")], "repo string, rev string")
+    with pytest.raises(RuntimeError, match="after 3 rounds"):
+        graph.scan_rounds(seed, step, seed, most=3)
+
+
 def test_resolve_imports(spark):
     imports = spark.createDataFrame([("r", "src/a/x.ts", "../b"), ("r", "src/a/x.ts", "./y"), ("r", "src/a/x.ts", "lodash/fp"), ("r", "src/a/x.ts", "./gone")], "repo string, path string, value string")
     files = spark.createDataFrame([("r", "src/b/index.ts"), ("r", "src/a/y.tsx"), ("r", "src/a/y.js")], "repo string, path string")

@@ -67,6 +67,19 @@ def test_save_skips_and_rebuilds(spark, tmp_path):
     assert spark.read.schema("n string").parquet(f"{out}/p").count() == 0
 
 
+def test_save_deletes_what_a_rescan_no_longer_finds(spark, tmp_path):
+    schema = "repo string, rev string, tags array<string>, path string, text string"
+    row = lambda repo, text: (repo, "main", [], "x.json", text)
+    engine, out, manifest = Engine(spark), str(tmp_path / "t"), "file://" + str(tmp_path / "m.json")
+    rules = "rule(p) { fs(**) > json({ name: $N }) }; rule(q) { fs(**) > json({ other: $O }) };"
+    engine.save(spark.createDataFrame([row("a/b", '{"name":"1","other":"2"}'), row("c", '{"name":"3"}'), row("d", '{"name":"4"}')], schema), parse(rules), out, manifest)
+    engine.save(spark.createDataFrame([row("a/b", "{}"), row("c", '{"name":"5"}')], schema), parse(rules), out, manifest)
+    got = lambda name: sorted((r.repo, r.n) for r in spark.read.schema("n string, node_path string, path string, repo string, rev string").parquet(f"{out}/{name}").collect())
+    assert got("p") == [("c", "5"), ("d", "4")]
+    assert engine.save(spark.createDataFrame([row("c", '{"name":"5"}')], schema), parse(rules.split(";")[0] + ";"), out, manifest)["q"] == "drop"
+    assert not (tmp_path / "t" / "q").exists()
+
+
 def test_classify(spark):
     index = spark.createDataFrame([("r", "a", "1"), ("r", "b", "2"), ("r", "c", "3")], "repo string, path string, content_hash string")
     events = spark.createDataFrame(
@@ -90,3 +103,18 @@ def test_watch_stream(spark, tmp_path):
     assert got == [(0, "delete", None), (1, "create", "b"), (2, "content_change", "b")]
     bursts = watch.sessions(spark.read.schema(watch.EVENTS).json(inbox), "2 seconds").collect()
     assert [r.n for r in bursts] == [3]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from factweave import shared
+
+    for master, good in (("local[4]", True), ("local-cluster[2,1,1024]", False), ("spark://x:7077", False), ("yarn", False)):
+        context = SimpleNamespace(master=master, applicationId="app", getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None)
+        session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+        if good:
+            assert shared.shared_dir(session).startswith("file:///")
+        else:
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                shared.shared_dir(session)
