@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import new_path, settled
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,19 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 ROWS_A_FILE = 1_000_000
 
 
@@ -39,12 +25,9 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     rows: about how many narrow rows there are; they then go to files of ROWS_A_FILE rows, eight files at least, where
     the shuffle before would leave a small file per partition.
     """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
     if rows is not None:
         df = df.coalesce(max(8, -(-rows // ROWS_A_FILE)))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return settled(df, tag)
 
 
 def ascii_lower(column):

@@ -178,11 +178,12 @@ def take(docs: DataFrame) -> DataFrame:
     often = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("long")
     drawn = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("d_"), F.col("size").alias("s_")).agg(F.sum(often).alias("often_"), F.count("*").alias("rows_"))
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    held = docs.withColumn("w_", words).join(drawn.hint("merge"), docs["doc_id"].eqNullSafe(F.col("d_")) & (F.col("w_") == F.col("s_")))
+    held = docs.select(F.struct("*").alias("own"), F.col("doc_id").alias("id"), words.alias("w_"))
+    held = held.join(drawn.hint("merge"), F.col("id").eqNullSafe(F.col("d_")) & (F.col("w_") == F.col("s_")))
     # Rows of one id and size share their draws.
     nth = F.row_number().over(Window.partitionBy("d_", "s_").orderBy(F.lit(0)))
     held = held.withColumn("n_", F.expr("often_ div rows_") + (nth <= F.expr("often_ % rows_")).cast("long")).where("n_ > 0")
-    return held.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "n_")).alias("n_")).drop("n_")
+    return held.select("own", F.explode(F.sequence(F.lit(1).cast("long"), "n_"))).select("own.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

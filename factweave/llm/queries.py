@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-import importlib
+import corpus_pipeline
+
+from . import bpe, chat, exact_dedup, licenses, mixing, near_dedup, neighbours, quality, toxicity, warc
 
 _MODULES = {
-    "op1_warc": "warc",
-    "op2_mixing": "mixing",
-    "op3_quality": "quality",
-    "op4_chat": "chat",
-    "op5_exact_dedup": "exact_dedup",
-    "op6_near_dedup": "near_dedup",
-    "op7_bpe": "bpe",
-    "op8_licenses": "licenses",
-    "op9_toxicity": "toxicity",
-    "op10_neighbours": "neighbours",
+    "op1_warc": warc,
+    "op2_mixing": mixing,
+    "op3_quality": quality,
+    "op4_chat": chat,
+    "op5_exact_dedup": exact_dedup,
+    "op6_near_dedup": near_dedup,
+    "op7_bpe": bpe,
+    "op8_licenses": licenses,
+    "op9_toxicity": toxicity,
+    "op10_neighbours": neighbours,
 }
 
 
-def _all():
-    return {name: importlib.import_module(f"{__package__}.{module}") for name, module in _MODULES.items()}
-
-
 def queries():
-    import corpus_pipeline
-
-    return {name: module.query for name, module in _all().items()} | {"pipeline": corpus_pipeline.run}
+    return {name: module.query for name, module in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    import corpus_pipeline
-
     pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {name: module.SQL for name, module in _all().items() if getattr(module, "SQL", None)} | pipeline
+    return {name: module.SQL for name, module in _MODULES.items() if getattr(module, "SQL", None)} | pipeline

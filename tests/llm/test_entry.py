@@ -28,7 +28,9 @@ def test_oracles_on_the_smallest_tables(spark, name):
 
 
 def test_pipeline_keeps_clean_documents(spark):
+    """Filtering stages return some of their rows; mixing repeats documents of sources below their target, up to three times."""
     import os
+    from collections import Counter
 
     import corpus_pipeline
 
@@ -37,7 +39,21 @@ def test_pipeline_keeps_clean_documents(spark):
         pytest.skip("no tables")
     docs = spark.read.parquet(f"{d}/documents.parquet")
     columns = docs.columns
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, d)
-        assert after.columns == columns and 0 < after.count() <= docs.count()
+        assert after.columns == columns
+        before, left = Counter(docs.collect()), Counter(after.collect())
+        assert left and left.keys() <= before.keys()
+        assert all(n <= (3 if name == "mixing" else 1) * before[row] for row, n in left.items())
         docs = after
+
+
+def test_the_rest_needs_neither_the_subpackage_nor_its_libraries():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    for gone in ("corpus_pipeline", "ahocorasick", "factweave.llm"):
+        code = f"import sys; sys.modules[{gone!r}] = None; import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) > 90"
+        done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr

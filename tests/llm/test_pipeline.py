@@ -38,3 +38,33 @@ def test_pipeline_equals_plain_stages(spark):
         ids = other.encode_ordinary(rows[i])
         want.add((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(rows[i].encode()).hexdigest()))
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+ODD = [(1, "good words in a line", "a", 20), (1, "good words in a line", "a", 20), (1, "other words", "a", None), (None, None, None, None), (None, "no id", None, 5), (3, "", "b", 0), (4, " \n", "b", 2), (5, "word " * 30_000, "b", 150_000), (6, "GOOD words in a line", "a", 20)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows_and_an_empty_table(spark, name):
+    """Nulls, empty and long texts, repeated rows, columns with names that stages use inside, and no rows at all."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame([(i, t, "en", s, n) for i, t, s, n in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(1) for c in ("h", "norm", "size", "mark", "keep_id", "block", "n", "digest", "y", "score", "k_", "n_")})
+    got = [(r.doc_id, r.text if "text" in r else None) for r in stage(spark, docs, SF).collect()] if name != "encoding" else stage(spark, docs, SF).collect()
+    rows = Counter((i, t) for i, t, *_ in ODD)
+    if name == "quality":  # no labelled rows here: the smoothed share keeps every row
+        assert Counter(got) == rows
+    elif name == "exact dedup":
+        assert Counter(got) == Counter([(1, "other words"), (None, "no id"), (3, ""), (4, " \n"), (5, "word " * 30_000), (6, "GOOD words in a line")])
+    elif name == "near dedup":
+        assert Counter(got) == rows - Counter([(6, "GOOD words in a line")])
+    elif name == "mixing":
+        left = Counter(got)
+        assert left.keys() <= rows.keys() and not {t for _, t in left} & {None, "", " \n"} and all(n <= 3 * rows[r] for r, n in left.items())
+    else:
+        assert Counter((r.doc_id, r.decoded_sha256) for r in got) == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in ODD)
+    assert stage(spark, docs.limit(0), SF).count() == 0
