@@ -70,12 +70,18 @@ def draws(src: DataFrame, block: int) -> DataFrame:
     return materialize(plan.where("draws > 0").select("src", "blocks", "draws", "first_draw"), "mix-draws", src.count())
 
 
+def _tasks(plan: DataFrame) -> tuple[int, int]:
+    """The number of slots, and how many tasks deal them."""
+    total = plan.agg(F.sum("draws")).first()[0] or 0
+    return total, max(1, min(20_000, math.ceil(total / (16 * CHUNK))))
+
+
 def shard_counts(plan: DataFrame, shard: int, seed: int) -> DataFrame:
     """shard, src, n (its slots of the source), start (index of the first in the source's sequence), offset (in the shard)."""
-    total = plan.agg(F.sum("draws")).first()[0] or 0
+    total, tasks = _tasks(plan)
     wide = plan.select("src", "draws", "first_draw", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK))).alias("chunk"))
     # The plan is tiny, what it unfolds to is not: the number of tasks follows the number of slots.
-    wide = wide.repartition(max(1, min(20_000, math.ceil(total / (16 * CHUNK)))), "src", "chunk")
+    wide = wide.repartition(tasks, "src", "chunk")
     k = F.sequence(F.col("chunk") * CHUNK, F.least(F.col("draws"), (F.col("chunk") + 1) * CHUNK) - 1)
     each = wide.select("src", F.explode(F.transform(k, lambda i: F.col("first_draw") + i)).alias("i"))
     slot = permuted(F.col("i"), F.lit(total).cast("long"), F.lit(seed), F.lit(-1))
@@ -95,6 +101,8 @@ def slots(src: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     """One row per output slot: shard, slot (its place in the shard), src, epoch, block."""
     plan = draws(src, block)
     counts = shard_counts(plan, shard, seed).join(plan.select("src", "blocks", "draws"), "src")
+    # A row of counts unfolds to up to a shard of slots: again the number of tasks follows the slots, not the rows.
+    counts = counts.repartition(_tasks(plan)[1], "shard", "src")
     each = counts.select("shard", "src", "blocks", "draws", "start", "offset", "filled", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
     each = each.withColumn("k", F.col("start") + F.col("j"))
     at = F.col("k") % F.col("blocks")
