@@ -41,7 +41,7 @@ from .common import LOWER, UPPER, WORD, materialize, table
 
 ROWS, BANDS = 8, 64
 #: Heads that a representative is compared with at first, and members of one head that go to one task.
-STARS, STAR_DOCS = 3, 500
+STARS, STAR_DOCS = 3, 64
 #: A block of a bucket holds about so many documents and so many shingles at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 500, 250_000
 _LOW = str.maketrans(UPPER, LOWER)
