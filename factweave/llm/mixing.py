@@ -42,7 +42,8 @@ def permuted(x, n, *seed):
         other = F.pmod(F.pmod(F.xxhash64(*seed, i), n) + n - at, n)
         return F.when(F.xxhash64(*seed, i, F.greatest(at, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, step)
+    # Never null, and known as such: a join on it needs no filter that would work it out a second time.
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, step), F.lit(-1).cast("long"))
 
 
 def targets(sizes: DataFrame, weights=(1, 2, 3), most: int = MOST) -> DataFrame:
@@ -173,8 +174,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     sizes, src, n = _planned(docs)
     doc = pieces(spans(sizes, src, n), block)
     # Both sides come from unfolding small tables, whose size estimates say nothing: never broadcast them.
-    drawn = doc.join(slots(src, block, shard, seed).select("src", "block", "slot").hint("merge"), ["src", "block"], "left")
-    taken = F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).cast("long").alias("taken")
+    drawn = doc.join(slots(src, block, shard, seed).select("src", "block", "shard").hint("merge"), ["src", "block"], "left")
+    taken = F.sum(F.when(F.col("shard").isNotNull(), F.col("words")).otherwise(0)).cast("long").alias("taken")
     return drawn.groupBy("src", "part", "row", "doc_id", "size", "source_size", "target").agg(taken).select("doc_id", "size", "source_size", "target", "taken")
 
 
