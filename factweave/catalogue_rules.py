@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .catalogue import query, t
 from .functions import paths
+from .functions import text as fn
 from .operators import graph, planning, sinks
 from .operators.extract import extract, facts, tables
 from .plans import sqlgate
-from .plans.language import from_json, parse
+from .plans.language import Rule, from_json, parse
 from .shared import new_path
 from .streaming import watch
 
@@ -65,13 +66,45 @@ def s16_dispatch(spark, d):
 
 @query("SELECT n_nationkey || '.json' AS path, CAST(n_nationkey AS VARCHAR) AS value FROM nation UNION ALL SELECT n_nationkey || '.json', n_name FROM nation")
 def w4_depth(spark, d):
-    from .plans.language import Rule
-
     text = F.to_json(F.struct(F.col("r_name").alias("top"), F.struct(F.struct("n_name", "n_nationkey").alias("b")).alias("a")))
     deep = Rule("q", context=[("file", "*.json")], matcher=("json", [("any",), ("depth_min", 3), ("leaf", "V")]), columns=["V"])
     return extract(blobs(nations(spark, d), F.concat(s("n_nationkey"), F.lit(".json")), text), [deep]).select("path", F.col("captures")["V"].alias("value"))
 
 
+def _walked(spark, d, *steps) -> DataFrame:
+    """Leaves that the steps reach in a document per nation: {top: region, a: {b: {n_name, n_nationkey}}, l: [nation, region]}."""
+    text = F.to_json(F.struct(F.col("r_name").alias("top"), F.struct(F.struct("n_name", "n_nationkey").alias("b")).alias("a"), F.array("n_name", "r_name").alias("l")))
+    found = Rule("q", context=[("file", "*.json")], matcher=("json", [*steps, ("leaf", "V")]), columns=["V"])
+    return extract(blobs(nations(spark, d), F.concat(s("n_nationkey"), F.lit(".json")), text), [found]).select("path", F.col("captures")["V"].alias("value"), "node_path")
+
+
+@query("SELECT n_nationkey || '.json' AS path, r_name AS value, 'top' AS node_path FROM nation JOIN region ON n_regionkey = r_regionkey")
+def w5_depth_max(spark, d):
+    return _walked(spark, d, ("any",), ("depth_max", 1))
+
+
+@query("SELECT n_nationkey || '.json' AS path, n_name AS value, 'a/b/n_name' AS node_path FROM nation UNION ALL SELECT n_nationkey || '.json', n_nationkey || '', 'a/b/n_nationkey' FROM nation")
+def w6_depth_eq(spark, d):
+    return _walked(spark, d, ("any",), ("depth_eq", 3))
+
+
+@query("SELECT n_nationkey || '.json' AS path, n_name AS value, 'a/b/n_name' AS node_path FROM nation")
+def w7_parent_key(spark, d):
+    return _walked(spark, d, ("any",), ("parent", "*_name"))
+
+
+@query("SELECT n_nationkey || '.json' AS path, n_name AS value, 'l/0' AS node_path FROM nation UNION ALL SELECT n_nationkey || '.json', r_name, 'l/1' FROM nation JOIN region ON n_regionkey = r_regionkey")
+def w8_array_item(spark, d):
+    return _walked(spark, d, ("key", "l"), ("item",))
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_nationkey % 2 = 0")
+def w15_literal_descends(spark, d):
+    key = F.when(F.col("n_nationkey") % 2 == 0, "on").otherwise("off")
+    text = F.to_json(F.struct(F.col("n_name").alias("name"), F.create_map(key, F.lit(1)).alias("light")))
+    return rule(blobs(nations(spark, d), F.concat(s("n_nationkey"), F.lit(".json")), text), "fs(*.json) > json({ name: $N, light: on })", name="N")
+
+
 @query("SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS key FROM nation WHERE n_nationkey % 2 = 0")
 def w10_leaf_pattern(spark, d):
     ref = F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("other"), F.lit(":"), s("n_nationkey"))
@@ -96,6 +129,28 @@ def p4_rev_tags(spark, d):
     return rule(df, "repo($R) { tag(v*) { folder(packages/$P) { fs(**/*.json) > json({ a: $_ }) } } }", repo="R", pkg="P").distinct()
 
 
+@query("SELECT 'org/' || r_name AS repo, CASE WHEN n_nationkey % 2 = 0 THEN 'main' ELSE 'v' || n_nationkey END AS rev, 'a/' || n_name AS folder, 'x.y' AS stem FROM nation JOIN region ON n_regionkey = r_regionkey")
+def p7_slot_captures(spark, d):
+    """A context step of one capture alone: the whole repository, branch or first tag, the file's folder and stem."""
+    n = nations(spark, d)
+    rev = F.when(F.col("n_nationkey") % 2 == 0, "main")
+    df = blobs(n, F.concat(F.lit("a/"), F.col("n_name"), F.lit("/x.y.json")), F.lit('{"k": 1}'), F.concat(F.lit("org/"), F.col("r_name")), rev, [F.concat(F.lit("v"), s("n_nationkey")), F.lit("w")])
+    return rule(df, "repo($R) { rev($B) { folder($D) { fs($F) > json({ k: $_ }) } } }", repo="R", rev="B", folder="D", stem="F")
+
+
+@query("SELECT s_suppkey, s_name || '@' || s_nationkey || ':{none}{' || s_suppkey || '}' AS label FROM supplier")
+def p12_template(spark, d):
+    return t(spark, d, "supplier").select("s_suppkey", fn.expand("{name}@{nation}:{none}{{key}}", {"name": F.col("s_name"), "nation": s("s_nationkey"), "key": s("s_suppkey")}).alias("label"))
+
+
+@query("SELECT 'named' AS rule, n_name AS name FROM nation")
+def m11_no_named_group(spark, d):
+    """A line pattern without named groups gives no row."""
+    df = blobs(nations(spark, d), F.concat(s("n_nationkey"), F.lit(".txt")), F.concat(F.lit("ref "), F.col("n_name"), F.lit("\n")))
+    rows = extract(df, parse("rule(named) { fs(*.txt) > line(re:^ref (?P<NAME>.+)$) }; rule(plain) { fs(*.txt) > line(re:^ref .+$) };").rules)
+    return rows.select("rule", F.col("captures")["NAME"].alias("name"))
+
+
 @query("SELECT p_partkey || '.txt' AS path, p_name AS name, CAST(0 AS BIGINT) AS begins, CAST(octet_length(encode(p_name)) AS BIGINT) AS ends FROM part WHERE p_size % 2 = 0")
 def j2_provenance(spark, d):
     text = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, "=").otherwise(":"), s("p_size"), F.lit("\n"))
@@ -130,11 +185,10 @@ def c1_ast(spark, d):
     return rule(blobs(nations(spark, d), F.concat(s("n_nationkey"), F.lit(".ts")), text), "fs(*.ts) > ast(process.env.$NAME)", name="NAME")
 
 
-@query("SELECT 'use' || k || 'Query' AS whole, k AS entity FROM (SELECT 'N' || n_nationkey AS k FROM nation)")
+@query("SELECT 'N' || n_nationkey AS entity FROM nation")
 def c3_sub_identifier(spark, d):
     text = F.concat(F.lit("const { data } = useN"), s("n_nationkey"), F.lit("Query({ id });"))
-    got = rule(blobs(nations(spark, d), F.concat(s("n_nationkey"), F.lit(".tsx")), text), "fs(*.tsx) > ast(use${E}Query($$$A))", entity="E")
-    return got.select(F.concat(F.lit("use"), "entity", F.lit("Query")).alias("whole"), "entity")
+    return rule(blobs(nations(spark, d), F.concat(s("n_nationkey"), F.lit(".tsx")), text), "fs(*.tsx) > ast(use${E}Query($$$A))", entity="E")
 
 
 def _js(spark, d):
@@ -213,6 +267,26 @@ def k4_apply_changes(spark, d):
     return watch.apply_changes(index, changes).select("path", "content_hash")
 
 
+@query("""WITH k AS (SELECT o_custkey AS path, o_orderkey AS name, CASE WHEN o_custkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS state FROM orders WHERE o_custkey % 3 <> 0 OR o_orderkey % 2 = 0)
+SELECT * FROM k UNION ALL SELECT -1, r_regionkey, 'builtin' FROM region WHERE r_regionkey NOT IN (SELECT name FROM k)""")
+def k4_upsert_prune(spark, d):
+    refs = t(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("name"), F.col("o_orderstatus").alias("state"))
+    found = refs.where("path % 3 = 0 AND name % 2 = 0").withColumn("state", F.lit("new"))
+    builtin = t(spark, d, "region").select(F.lit(-1).alias("path"), F.col("r_regionkey").alias("name"), F.lit("builtin").alias("state"))
+    return sinks.upserted(refs, found, ["name"], refs.where("path % 3 = 0"), builtin)
+
+
+@query("SELECT l_orderkey AS path, l_linenumber AS site, CASE WHEN l_linenumber > 1 THEN max(l_partkey) || '' END AS part, CASE WHEN l_linenumber > 1 THEN max(l_suppkey) || '' END AS supp, CASE WHEN l_linenumber = 1 THEN 'only' END AS value FROM lineitem WHERE l_linenumber < 7 GROUP BY l_orderkey, l_linenumber")
+def k5_sites(spark, d):
+    """Two references a line, one named like the rule on first lines, none with a site on seventh ones."""
+    line = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
+    of = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    refs = F.when(F.col("l_linenumber") == 1, F.array(of("line", F.lit("only")))).otherwise(F.array(of("part", s("l_partkey")), of("supp", s("l_suppkey"))))
+    site = F.when(F.col("l_linenumber") < 7, F.col("l_linenumber"))
+    wide = line.select(F.col("l_orderkey").alias("path"), F.lit("line").alias("rule"), site.alias("site"), F.inline(refs))
+    return sinks.pivoted(wide, ["part", "supp"]).drop("rule")
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def k7_delete_cascade(spark, d):
     gone = t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path"))

@@ -137,6 +137,13 @@ def package_of(specifier: Column) -> Column:
     return F.when(F.regexp_like(specifier, F.lit("^[./]")) | (specifier == ""), None).otherwise(F.regexp_extract(specifier, "^(@[^/]+/[^/]+|[^/]+)", 1))
 
 
+def expand(template: str, values: dict[str, Column]) -> Column:
+    """The template with each `{name}` replaced by its value; names without a value stay as they are."""
+    parts = re.split(r"\{(\w+)\}", template)
+    whole = [F.lit(p) if i % 2 == 0 else F.coalesce(values[p], F.lit(f"{{{p}}}")) if p in values else F.lit(f"{{{p}}}") for i, p in enumerate(parts)]
+    return F.concat(*whole)
+
+
 def rust_module(path: Column) -> Column:
     """Module path of a Rust file: after its last `src`; lib and main are the crate, mod.rs its directory."""
     after = F.regexp_extract(path, r"^(?:.*/)?src/(.*)\.rs$", 1)

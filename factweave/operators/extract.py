@@ -6,6 +6,7 @@ no rule wants are never read by Python.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -27,10 +28,25 @@ ROWS = "rule string, repo string, rev string, path string, captures map<string,s
 FACTS = "kind string, value string, repo string, rev string, path string, span_start int, span_end int, parent_key string"
 
 
+#: A context step that is one capture alone.
+SLOT = re.compile(r"\$(?:\{([A-Z_][A-Z0-9_]*)\}|([A-Z_][A-Z0-9_]*))")
+
+
+def _slot(kind: str, repo, rev, tags, path):
+    """What a step of one capture alone takes: repository, branch or else first tag, stem of the file, path of its folder."""
+    name = path.rpartition("/")[2]
+    return {"repo": repo, "rev": rev or next(iter(tags or []), None), "file": name.rpartition(".")[0] or name, "folder": path.rpartition("/")[0]}[kind]
+
+
 def _context(rule: Rule, repo, rev, tags, path) -> dict[str, str] | None:
     """Captures of the context steps, or None if one does not match."""
     caps: dict[str, str] = {}
     for kind, pattern in rule.context:
+        slot = SLOT.fullmatch(pattern) if kind != "tag" else None
+        if slot:
+            name, value = slot[1] or slot[2], _slot(kind, repo, rev, tags, path)
+            caps |= {name: value} if name != "_" and value is not None else {}
+            continue
         if kind == "file":
             hit = compile_pattern(pattern).match(path)
         elif kind == "folder":
@@ -112,7 +128,7 @@ def _wanted(path, rules: list[Rule]):
     """Rows whose path some rule may want: the file globs of each rule, as one predicate."""
     each = []
     for rule in rules:
-        globs = [compile_pattern(p).matches(path) for k, p in rule.context if k == "file"]
+        globs = [compile_pattern(p).matches(path) for k, p in rule.context if k == "file" and not SLOT.fullmatch(p)]
         if not globs:
             return F.lit(True)
         each.append(reduce(lambda a, b: a & b, globs))

@@ -28,6 +28,27 @@ def without_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
     return rows.join(paths.select("path"), "path", "left_anti")
 
 
+def upserted(rows: DataFrame, found: DataFrame, keys: list[str], scanned: DataFrame, builtin: DataFrame | None = None) -> DataFrame:
+    """rows after a scan of the files `scanned` (path): what was found replaces rows of equal keys, the rest of those files goes.
+
+    Builtin rows are there afterwards, too, unless a row of equal keys is.
+    """
+    kept = rows.join(scanned.select("path").distinct(), "path", "left_anti").join(found.select(*keys), keys, "left_anti")
+    out = kept.select(*rows.columns).unionByName(found.select(*rows.columns))
+    return out if builtin is None else out.unionByName(builtin.join(out.select(*keys), keys, "left_anti").select(*rows.columns))
+
+
+def pivoted(refs: DataFrame, kinds: list[str]) -> DataFrame:
+    """path, rule, site and a column per kind of the references (path, rule, site, kind, text) found at one site.
+
+    A site's only reference, if its kind is the rule's name, is the column `value`. References without a site are left
+    out. Of several of one kind the least text counts.
+    """
+    per = [F.min(F.when(F.col("kind") == k, F.col("text"))).alias(k) for k in kinds]
+    alone = F.when(F.count("*") == 1, F.min(F.when(F.col("kind") == F.col("rule"), F.col("text")))).alias("value")
+    return refs.where("site IS NOT NULL").groupBy("path", "rule", "site").agg(*per, alone)
+
+
 def renamed(files: DataFrame, moves: DataFrame) -> DataFrame:
     """Files with new paths where `moves` (path, new_path) has one; everything else stays."""
     held = files.join(moves.select("path", "new_path"), "path", "left")

@@ -110,6 +110,15 @@ class Pattern:
         """Column per capture; null where the pattern does not match."""
         return {n: F.when(self.matches(c), F.regexp_extract(c, self.regexes[0], g)) for n, g in zip(self.names, self.groups, strict=True)}
 
+    def bound(self, c: Column, values: dict[str, Column]) -> tuple[Column, dict[str, Column]]:
+        """(does it match, column per other capture) of a segment pattern some of whose names have a value in each row."""
+        regex, names = segment_regex(self.source, {n: f"\ue000{n}\ue001" for n in values})
+        quoted = lambda v: F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        parts = re.split("\ue000(\\w+)\ue001", regex)
+        whole = F.concat(*[quoted(values[p]) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+        hit = F.regexp_like(c, whole)
+        return hit, {n: F.when(hit, F.call_function("regexp_extract", c, whole, F.lit(i + 1))) for i, n in enumerate(names)}
+
     def match(self, text: str, bound: dict[str, str] | None = None) -> dict[str, tuple[str, int, int]] | None:
         """Captures with offsets in code points, or None."""
         if self.kind == "segment":

@@ -99,3 +99,13 @@ def test_segments_equal_the_model(parts, text):
     m = re.match(regex, text)
     got = None if m is None else {n: m[i + 1] for i, n in enumerate(names)}
     assert got == model(pieces(pattern), text, {})
+
+
+def test_names_bound_by_a_column(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a.b", "a.b/x"), ("a.b", "aXb/x"), ("q\\Ez", "q\\Ez/y"), ("$1", "$1/z"), (None, "n/z"), ("(", None)]
+    df = spark.createDataFrame(rows, "known string, text string")
+    hit, found = compile_pattern("$REPO/$NAME").bound(F.col("text"), {"REPO": F.col("known")})
+    assert list(found) == ["NAME"]
+    assert [r[0] for r in df.select(F.when(hit, found["NAME"])).collect()] == ["x", None, "y", "z", None, None]

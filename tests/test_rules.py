@@ -263,3 +263,23 @@ def test_json_rules_equal_the_language():
 def test_capture_filter_and_seeds():
     assert rows("json({ image: $I }) > line($NAME:$TAG)", "a.json", '{"image": "nginx:1"}') == [("nginx:1", "nginx", "1")]
     assert rows('json({ name: "$X", version: $V })', "a.json", '{"name": "a/b", "version": "1"}') == []
+
+
+def test_a_step_of_one_capture_takes_the_whole_value(spark):
+    rows = [("org/port", "main", ["v1"], "a/b/x.y.json", '{"k":1}'), ("org/port", None, ["v1", "v2"], ".env", '{"k":1}'), ("org/port", None, [], "z.json", '{"k":1}'), (None, "main", None, "a/z", '{"k":1}')]
+    found = extract(spark.createDataFrame(rows, BLOB), parse("rule(r) { repo($R) { rev($B) { folder($D) { fs($F) > json({ k: $K }) } } } };").rules)
+    got = {r.path: {n: v for n, v in r.captures.items() if n != "K"} for r in found.collect()}
+    # What is not known binds nothing.
+    assert got == {"a/b/x.y.json": {"R": "org/port", "B": "main", "D": "a/b", "F": "x.y"}, ".env": {"R": "org/port", "B": "v1", "D": "", "F": ".env"}, "z.json": {"R": "org/port", "D": "", "F": "z"}, "a/z": {"B": "main", "D": "a", "F": "z"}}
+
+
+def test_templates_and_sites(spark):
+    from pyspark.sql import functions as F
+
+    from factweave.functions.text import expand
+    from factweave.operators.sinks import pivoted
+
+    df = spark.createDataFrame([("{b}", "x"), (None, "y")], "a string, b string")
+    assert [r[0] for r in df.select(expand("{a}-{b}{c}", {"a": F.col("a"), "b": F.col("b")})).collect()] == ["{b}-x{c}", "{a}-y{c}"]
+    refs = spark.createDataFrame([("p", "img", 1, "img", "one"), ("p", "img", 2, "img", "two"), ("p", "img", 2, "tag", "t"), ("p", "img", None, "tag", "lost")], "path string, rule string, site int, kind string, text string")
+    assert sorted((r.site, r.tag, r.value) for r in pivoted(refs, ["tag"]).collect()) == [(1, None, "one"), (2, "t", None)]
