@@ -315,9 +315,28 @@ def j12_theta(spark, d):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON lower(regexp_replace(a.p_name, '[^A-Za-z0-9]', '', 'g')) = lower(regexp_replace(b.p_name, '[^A-Za-z0-9]', '', 'g')) AND a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand")
 def j14_link_norm(spark, d):
-    p = t(spark, d, "part").withColumn("n", fn.norm(F.col("p_name")))
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    none = F.lit(None).cast("string")
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("part").alias("kind"), F.col("p_name").alias("value"), F.col("p_brand").alias("repo"), none.alias("path"), none.alias("target"))
+    return graph.linked(p, p, ["norm", "repo"]).where("src < tgt").select(F.col("src").alias("a"), F.col("tgt").alias("b"))
+
+
+@query("SELECT s_suppkey AS src, n_nationkey AS tgt FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 0")
+def j14_link_import(spark, d):
+    name, file = F.concat(F.lit("N"), F.col("n_nationkey")), F.concat(F.lit("n/n"), F.col("n_nationkey"), F.lit(".ts"))
+    n = t(spark, d, "nation")
+    exports = n.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_regionkey") == 0, "rs_mod").otherwise("export_name").alias("kind"), name.alias("value"), F.lit("r").alias("repo"), file.alias("path"), F.lit(None).cast("string").alias("target"))
+    users = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    imports = users.select(F.col("s_suppkey").alias("id"), F.lit("import_name").alias("kind"), name.alias("value"), F.lit("r").alias("repo"), F.concat(F.lit("s/s"), F.col("s_suppkey"), F.lit(".ts")).alias("path"), file.alias("target"))
+    return graph.linked(imports, exports, [("and", [("kind", "src", "import_name"), ("kind", "tgt", "export_name"), "target", "string"])])
+
+
+@query("SELECT s_suppkey AS src, n_nationkey AS tgt FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def j14_link_stem(spark, d):
+    n = t(spark, d, "nation")
+    none = F.lit(None).cast("string")
+    files = n.select(F.col("n_nationkey").alias("id"), F.lit("file").alias("kind"), none.alias("value"), F.lit("r").alias("repo"), F.concat(F.lit("n/Nation"), F.col("n_nationkey"), F.lit(".rs")).alias("path"), none.alias("target"))
+    names = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("rs_mod").alias("kind"), F.concat(F.lit("nation-"), F.col("s_nationkey")).alias("value"), F.lit("r").alias("repo"), none.alias("path"), none.alias("target"))
+    return graph.linked(names, files, [("stem", "tgt"), "repo"])
 
 
 @query("SELECT l_orderkey || '' AS file, 'declare' AS kind, 'n' || l_linenumber AS old_name, 'm' || l_linenumber AS new_name, 'rename' AS change FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL")

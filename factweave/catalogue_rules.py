@@ -219,6 +219,27 @@ def c12_resolve_imports(spark, d):
     return graph.resolve_imports(imports, files).select("path", "target")
 
 
+@query("SELECT 's' || s_suppkey || '.ts' AS path, CASE WHEN s_nationkey % 3 = 0 THEN 'src/exact.ts' WHEN s_nationkey % 3 = 1 THEN 'src/nation/n' || s_nationkey || '.ts' ELSE 'node_modules/n' || s_nationkey || '/index.js' END AS target FROM supplier")
+def c12_resolve_aliases(spark, d):
+    key, rest = s("s_nationkey"), F.col("s_nationkey") % 3
+    imports = t(spark, d, "supplier").select(F.lit("r").alias("repo"), F.concat(F.lit("s"), s("s_suppkey"), F.lit(".ts")).alias("path"), F.when(rest == 0, "@n/exact").when(rest == 1, F.concat(F.lit("@n/n"), key)).otherwise(F.concat(F.lit("n"), key)).alias("value"))
+    k = F.col("n_nationkey") % 3
+    at = F.when(k == 0, "src/exact.ts").when(k == 1, F.concat(F.lit("src/nation/n"), s("n_nationkey"), F.lit(".ts"))).otherwise(F.concat(F.lit("node_modules/n"), s("n_nationkey"), F.lit("/index.js")))
+    files = t(spark, d, "nation").select(F.lit("r").alias("repo"), at.alias("path"))
+    aliases = spark.createDataFrame([("r", "@n/*", "src/nation/*", 0), ("r", "@n/exact", "src/exact", 0)], "repo string, pattern string, target string, nth int")
+    return graph.resolve_imports(imports, files, aliases=aliases).select("path", "target")
+
+
+@query("SELECT 'V' || n_nationkey AS name FROM nation WHERE n_nationkey % 2 = 0")
+def c2_rule_object(spark, d):
+    call = F.when(F.col("n_nationkey") % 2 == 0, "load").otherwise("drop")
+    text = F.concat(F.lit("function a() { "), call, F.lit("(process.env.V"), s("n_nationkey"), F.lit(") }\nfunction b() { load(process.env.lower) }"))
+    told = {"rule": {"pattern": "process.env.$NAME", "inside": {"pattern": "load($$$_)"}}, "constraints": {"NAME": {"regex": "^[A-Z]"}}}
+    program = from_json(json.dumps({"rules": [{"name": "env", "context": [["file", "*.ts"]], "matcher": ["ast", told, None]}]}))
+    rows = extract(blobs(nations(spark, d), F.concat(s("n_nationkey"), F.lit(".ts")), text), program.rules)
+    return rows.select(F.col("captures").getItem("NAME").alias("name"))
+
+
 # ---- joins over facts ----------------------------------------------------------------------------------------------
 
 

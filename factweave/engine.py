@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,26 @@ from .plans.language import Program
 from .shared import read_small, remove, write_small
 
 
+def _read(path: str, text: str):
+    if path.endswith(".json"):
+        return json.loads(text)
+    import yaml
+
+    return yaml.safe_load(text)
+
+
+def _with_files(rules: dict, folder: str) -> dict:
+    """Rules with the rule objects of `{"rule_file": path}`, paths being relative to the folder."""
+    for rule in rules["rules"]:
+        of = (rule.get("matcher") or [None, None])[1]
+        if isinstance(of, dict) and "rule_file" in of:
+            path = os.path.join(folder, of["rule_file"])
+            with open(path) as f:
+                told = _read(path, f.read())
+            rule["matcher"][1] = {k: told[k] for k in ("rule", "constraints", "language") if k in told}
+    return rules
+
+
 class Engine:
     def __init__(self, spark: SparkSession, namespace: str = ""):
         self.spark, self.namespace = spark, namespace
@@ -24,12 +45,10 @@ class Engine:
         for path in paths:
             with open(path) as f:
                 text = f.read()
-            if path.endswith((".yaml", ".yml")):
-                import yaml
-
-                program = language.from_json(json.dumps(yaml.safe_load(text)))
+            if path.endswith((".yaml", ".yml", ".json")):
+                program = language.from_json(json.dumps(_with_files(_read(path, text), os.path.dirname(path))))
             else:
-                program = language.from_json(text) if path.endswith(".json") else language.parse(text)
+                program = language.parse(text)
             rules += program.rules
             checks |= program.checks
         return Program(rules, checks)

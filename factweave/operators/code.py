@@ -104,19 +104,112 @@ def _compiled(pattern: str, lang: str):
     return out
 
 
-def structural(text: str, pattern: str, lang: str = ""):
-    """Captures with offsets of each place where the pattern matches."""
-    toks, want = tokens(text, lang), _compiled(pattern, lang)
-    span = lambda i, j: (text[toks[i][2] : toks[j - 1][2] + len(toks[j - 1][1])], toks[i][2], toks[j - 1][2] + len(toks[j - 1][1])) if j > i else ("", -1, -1)
+def structural(text: str, pattern, lang: str = ""):
+    """Captures with offsets of each place where the pattern, or the rule object (a dict), matches."""
+    if isinstance(pattern, dict):
+        limits = {n.lstrip("$"): re.compile(c["regex"]) for n, c in (pattern.get("constraints") or {}).items()}
+        toks = tokens(text, pattern.get("language") or lang)
+        found = _objects(text, toks, pattern["rule"], pattern.get("language") or lang)
+        yield from (caps for _, _, caps in found if all(n in caps and r.search(caps[n][0]) for n, r in limits.items()))
+        return
+    yield from (caps for _, _, caps in _runs(text, tokens(text, lang), pattern, lang))
+
+
+#: Kinds of nodes that a lexer knows.
+KINDS = {"identifier": "word", "string": "string", "number": "number"}
+
+
+def _span(text: str, toks, i: int, j: int):
+    """(text, begin, end) of the tokens from i up to j."""
+    if j <= i:
+        return "", -1, -1
+    end = toks[j - 1][2] + len(toks[j - 1][1])
+    return text[toks[i][2] : end], toks[i][2], end
+
+
+def _objects(text: str, toks, rule: dict, lang: str, among: list | None = None) -> list[tuple[int, int, dict]]:
+    """(first token, token after the last, captures) of each run that a rule object takes.
+
+    `pattern`, `any` or `all` name the runs, else those of `among`, else every token and group is one; `kind`, `regex`, `all`, `not`, `inside`, `has`,
+    `follows` and `precedes` choose among them. The last four look at any distance: a run inside another, with one inside,
+    after or before one of the same group. Their captures are added, those of the nearest run.
+    """
+    unknown = set(rule) - {"pattern", "kind", "any", "regex", "all", "not", "inside", "has", "follows", "precedes", "stopBy"}
+    if unknown:
+        raise ValueError(f"ast rule: unknown {sorted(unknown)}")
+    if "pattern" in rule:
+        runs = list(_runs(text, toks, rule["pattern"], lang))
+    elif "any" in rule:
+        runs = list({(i, j): (i, j, caps) for part in reversed(rule["any"]) for i, j, caps in _objects(text, toks, part, lang, among)}.values())
+    elif rule.get("all"):
+        runs = _objects(text, toks, rule["all"][0], lang, among)
+    elif among is not None:
+        runs = among
+    else:
+        runs = [(i, j, {}) for i in range(len(toks)) if (j := _group_end(toks, i)) is not None]
+    bare = lambda: [(i, j, {}) for i, j, _ in runs]
+    if "kind" in rule:
+        if rule["kind"] not in KINDS:
+            raise ValueError(f"ast rule: kind {rule['kind']!r} is none of {sorted(KINDS)}")
+        runs = [r for r in runs if r[1] == r[0] + 1 and toks[r[0]][0] == KINDS[rule["kind"]]]
+    if "regex" in rule:
+        regex = re.compile(rule["regex"])
+        runs = [r for r in runs if regex.search(_span(text, toks, r[0], r[1])[0])]
+    if "any" in rule and "pattern" in rule:
+        runs = _joined(runs, [x for part in rule["any"] for x in _objects(text, toks, part, lang, bare())], lambda r, x: r[:2] == x[:2])
+    for part in rule.get("all", []):
+        runs = _joined(runs, _objects(text, toks, part, lang, bare()), lambda r, x: r[:2] == x[:2])
+    if "not" in rule:
+        taken = {x[:2] for x in _objects(text, toks, rule["not"], lang, bare())}
+        runs = [r for r in runs if r[:2] not in taken]
+    depth = _parents(toks) if {"follows", "precedes"} & set(rule) else None
+    tests = {
+        "inside": lambda r, x: x[0] <= r[0] and r[1] <= x[1] and r[:2] != x[:2],
+        "has": lambda r, x: r[0] <= x[0] and x[1] <= r[1] and r[:2] != x[:2],
+        "follows": lambda r, x: x[1] <= r[0] and depth[x[0]] == depth[r[0]],
+        "precedes": lambda r, x: r[1] <= x[0] and depth[x[0]] == depth[r[0]],
+    }
+    for name, test in tests.items():
+        if name in rule:
+            runs = _joined(runs, _objects(text, toks, rule[name], lang), test)
+    return sorted(runs, key=lambda r: r[:2])
+
+
+def _joined(runs, others, test):
+    """Runs with a run of the others that the test takes and whose captures agree, the nearest such one's added."""
+    out = []
+    for r in runs:
+        fit = [x for x in others if test(r, x) and all(r[2].get(n, v)[0] == v[0] for n, v in x[2].items())]
+        if fit:
+            nearest = min(fit, key=lambda x: abs(x[0] - r[0]) + abs(x[1] - r[1]))
+            out.append((r[0], r[1], nearest[2] | r[2]))
+    return out
+
+
+def _parents(toks) -> list[int]:
+    """For each token the opening token of the group around it, -1 outside any."""
+    out, stack = [], [-1]
+    for i in range(len(toks)):
+        if toks[i][1] in CLOSE and len(stack) > 1:
+            stack.pop()
+        out.append(stack[-1])
+        if toks[i][1] in OPEN:
+            stack.append(i)
+    return out
+
+
+def _runs(text: str, toks, pattern: str, lang: str):
+    """(first token, token after the last, captures with offsets) of each place where the pattern matches."""
+    want = _compiled(pattern, lang)
 
     def match(i: int, k: int, caps: dict):
         if k == len(want):
-            return caps
+            return i, caps
         kind, of = want[k]
         if kind == "many":
             j = i
             while True:
-                held = caps if of == "_" else caps | {of: span(i, j)}
+                held = caps if of == "_" else caps | {of: _span(text, toks, i, j)}
                 found = match(j, k + 1, held)
                 if found is not None:
                     return found
@@ -135,7 +228,7 @@ def structural(text: str, pattern: str, lang: str = ""):
         j = _group_end(toks, i)
         if j is None:
             return None
-        got = span(i, j)
+        got = _span(text, toks, i, j)
         if of != "_" and of in caps and caps[of][0] != got[0]:
             return None
         return match(j, k + 1, caps if of == "_" else caps | {of: got})
@@ -143,7 +236,7 @@ def structural(text: str, pattern: str, lang: str = ""):
     for i in range(len(toks)):
         found = match(i, 0, {})
         if found is not None:
-            yield found
+            yield i, *found
 
 
 def js_facts(text: str):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
-from ..plans.language import Program, Rule, RuleError, captures, levels, variables
+from ..plans.language import Program, Rule, RuleError, levels, matched, variables
 from ..plans.patterns import compile_pattern, line_pattern
 from ..shared import new_path
 from .code import js_facts, rust_facts, structural
@@ -235,8 +235,7 @@ def by_rule(rows: DataFrame) -> DataFrame:
 def _own(rule: Rule) -> set[str]:
     """Captures that the rule's own steps bind, not only a reference."""
     bound = {v for _, b in rule.refs for v in b.values()}
-    kind, *of = rule.matcher or (None,)
-    said = variables(" ".join([p for _, p in rule.context] + rule.headings)) + (captures(of[0]) if kind == "json" else variables(of[0]) if of else [])
+    said = variables(" ".join([p for _, p in rule.context] + rule.headings)) + (matched(rule.matcher) if rule.matcher else [])
     said += line_pattern(rule.line).names if rule.line else []
     return (bound & set(said)) | (set(rule.columns) - bound)
 

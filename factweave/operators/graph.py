@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import directory, extension, norm, norm2, package_of, stem
 from ..shared import settled
 
 
@@ -140,29 +142,100 @@ def importers(imports: DataFrame, targets: DataFrame) -> DataFrame:
     return imports.join(targets.select(F.col("path").alias("target")), "target", "left_semi").select("path").distinct()
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame | None = None) -> DataFrame:
-    """Add `target` to imports (repo, path, value): relative paths with endings and index files, then package names."""
-    endings = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".json", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
-    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    joined = F.filter(F.split(F.concat_ws("/", folder, F.col("value")), "/"), lambda x: (x != "") & (x != "."))
+#: Endings that are tried for an import, in this order.
+ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".json", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
+
+
+def _cleaned(path):
+    """A path without empty and `.` parts, `..` taking the part before it."""
 
     def climb(acc, x):
         return F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
 
-    base = F.array_join(F.aggregate(joined, F.array().cast("array<string>"), climb), "/")
-    tries = F.when(F.col("value").startswith("."), F.transform(F.array(*map(F.lit, endings)), lambda e: F.concat(base, e)))
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), climb), "/")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Add `target` to imports (repo, path, value): each way gives candidates with a rank, one join finds the files.
+
+    Relative paths come first, then `aliases` (repo, pattern, target, nth: the `paths` of a tsconfig, one `*` at most; a
+    pattern without one, then the longest beginning counts; several targets in the order of nth), then folders
+    `node_modules` of the importer's folder and those above, nearest first, then `packages` (package_name, manifest_path).
+    """
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     keyed = imports.withColumn("row_", F.xxhash64("repo", "path", "value"))
-    wide = keyed.select("row_", "repo", F.posexplode(tries).alias("rank", "try"))
+    asked = keyed.select("row_", "repo", "path", "value").distinct()
+    bare = asked.where(~F.col("value").startswith(".") & ~F.col("value").startswith("/"))
+    rank = lambda way, of: F.struct(F.lit(way).alias("way"), F.lit(0).cast("int").alias("a") if of is None else of.cast("int").alias("a"))
+    ways = [asked.where(F.col("value").startswith(".")).select("row_", "repo", _cleaned(F.concat_ws("/", folder, F.col("value"))).alias("base"), rank(0, None).alias("rank"))]
+    if aliases is not None:
+        star = F.instr("pattern", "*")
+        before = F.when(star > 0, F.substring_index("pattern", "*", 1)).otherwise(F.col("pattern"))
+        after = F.when(star > 0, F.substring_index("pattern", "*", -1)).otherwise("")
+        known = aliases.select("repo", before.alias("before"), after.alias("after"), (star > 0).alias("open"), F.col("target").alias("into"), "nth")
+        fits = F.when(F.col("open"), F.col("value").startswith(F.col("before")) & F.col("value").endswith(F.col("after")) & (F.length("value") >= F.length("before") + F.length("after"))).otherwise(F.col("value") == F.col("before"))
+        inner = F.substring(F.col("value"), F.length("before") + 1, F.length("value") - F.length("before") - F.length("after"))
+        # A repository has few aliases; its imports meet only those.
+        met = bare.join(known, "repo").where(fits)
+        order = F.when(F.col("open"), 100_000 - 100 * F.least(F.length("before"), F.lit(999))).otherwise(0) + F.least("nth", F.lit(99))
+        ways.append(met.select("row_", "repo", _cleaned(F.when(F.col("open"), F.replace("into", F.lit("*"), inner)).otherwise(F.col("into"))).alias("base"), rank(1, order).alias("rank")))
+    # Folders above the importer, nearest first, kept where they hold the package.
+    above = F.transform(F.sequence(F.size(F.split("path", "/")) - 1, F.lit(0)), lambda n: F.concat(F.array_join(F.slice(F.split("path", "/"), 1, n), "/"), F.when(n > 0, "/").otherwise("")))
+    held = files.where(F.col("path").contains("node_modules/")).select("repo", F.regexp_extract("path", "^((?:.*/)?)node_modules/", 1).alias("up"), F.regexp_extract("path", "^(?:.*/)?node_modules/((?:@[^/]+/)?[^/]+)", 1).alias("package")).distinct()
+    climbed = bare.select("row_", "repo", "value", package_of(F.col("value")).alias("package"), F.posexplode(above).alias("n", "up"))
+    ways.append(climbed.join(held, ["repo", "up", "package"]).select("row_", "repo", F.concat("up", F.lit("node_modules/"), "value").alias("base"), rank(2, F.col("n")).alias("rank")))
+    wide = reduce(DataFrame.unionByName, ways).select("row_", "repo", "rank", "base", F.posexplode(F.array(*map(F.lit, ENDINGS))).alias("nth", "ending"))
+    wide = wide.select("row_", "repo", F.struct("rank", "nth").alias("rank"), F.concat("base", "ending").alias("try"))
     hit = wide.join(files.select(F.col("repo"), F.col("path").alias("try")).distinct(), ["repo", "try"]).groupBy("row_").agg(F.min_by("try", "rank").alias("target"))
     out = keyed.join(hit, "row_", "left")
     if packages is not None:
-        from ..functions.text import package_of
-
         names = packages.groupBy(F.col("package_name")).agg(F.min("manifest_path").alias("manifest_"))
         out = out.join(names, package_of(F.col("value")) == F.col("package_name"), "left").withColumn("target", F.coalesce("target", "manifest_")).drop("package_name", "manifest_")
     return out.drop("row_")
 
 
+#: Links between two references: what must be equal, and what a side must be. Names of sides are `src` and `tgt`.
+_EQUAL = {"norm": ("norm", "norm"), "norm2": ("norm2", "norm2"), "string": ("value", "value"), "target": ("target", "path"), "repo": ("repo", "repo"), "file": ("path", "path")}
+
+
+def linked(sources: DataFrame, targets: DataFrame, predicates: list, suffixes: list[str] = ()) -> DataFrame:
+    """src, tgt (ids) of the references that all predicates link.
+
+    sources, targets: id, kind, value, repo, path, target (file the reference resolves to). Predicates: "norm", "norm2"
+    (without one of `suffixes`), "string", "target" (the source resolves to the target's file), "repo", "file";
+    ("kind", side, kind); ("stem" | "ext" | "dir", side): that part of the side's path, in small letters, is the normal
+    form of the other's value; ("and", [predicates]). "file" and "target" hold within a repository. Null equals nothing. At
+    least one predicate must compare both sides, so that the join has a key.
+    """
+    parts = {"stem": stem, "ext": extension, "dir": directory}
+    flat, todo = [], list(predicates)
+    while todo:
+        p = todo.pop(0)
+        todo[:0] = p[1] if p[0] == "and" else []
+        flat += [] if p[0] == "and" else [p]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        whole = df.where(reduce(lambda a, b: a & b, [F.col("kind") == p[2] for p in flat if p[0] == "kind" and p[1] == name], F.lit(True)))
+        value = F.col("value")
+        told = {"norm": norm(value), "norm2": norm2(value, list(suffixes)), **{k: F.lower(f(F.col("path"))) for k, f in parts.items()}}
+        return whole.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("value", "repo", "path", "target")], *[c.alias(f"{name}_{n}") for n, c in told.items()])
+
+    on = []
+    for p in flat:
+        if p[0] in parts and not isinstance(p, str):
+            other = "tgt" if p[1] == "src" else "src"
+            on.append(F.col(f"{p[1]}_{p[0]}") == F.col(f"{other}_norm"))
+        elif p in _EQUAL:
+            on.append(F.col(f"src_{_EQUAL[p][0]}") == F.col(f"tgt_{_EQUAL[p][1]}"))
+            on += [F.col("src_repo") == F.col("tgt_repo")] if p in ("file", "target") else []
+        elif p[0] != "kind":
+            raise ValueError(f"link: unknown predicate {p!r}")
+    if not on:
+        raise ValueError("link: no predicate compares the two sides, so every row would meet every row")
+    return side(sources, "src").join(side(targets, "tgt"), reduce(lambda a, b: a & b, on)).select("src", "tgt")
+
+
 def relays(imports: DataFrame, wanted: DataFrame, exports: DataFrame) -> DataFrame:
     """Imports (path, name, target) of a wanted name (target, name) whose file exports that name (path, name) on."""
     hit = imports.join(wanted.select("target", "name").distinct(), ["target", "name"], "left_semi")

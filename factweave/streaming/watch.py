@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.extract import facts
 from ..operators.graph import nearest_spans
+from ..plans.patterns import compile_pattern
 
 EVENTS = "event_ts timestamp, repo string, op string, path string, content_hash string"
 #: Parts of paths whose events are dropped.
@@ -91,6 +94,46 @@ def watch(events: DataFrame, files_path: str, out_path: str, checkpoint: str, pa
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+CHECKOUTS = "seq long, repo string, rev string, sha string, local_path string"
+
+
+def read_checkouts(spark: SparkSession, path: str, per_batch: int = 100) -> DataFrame:
+    """The stream of an event table of checkouts: Parquet files that its writer adds."""
+    return spark.readStream.schema(CHECKOUTS).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+def due_checkouts(events: DataFrame, scanned: DataFrame, sources: list[tuple[str, str]] = ()) -> DataFrame:
+    """The newest event of each (repo, rev) whose commit is not the one scanned (repo, rev, sha).
+
+    sources: (glob of repositories, glob of revisions), one of which must hold; none: all hold. A checkout without a commit is due.
+    """
+    if sources:
+        events = events.where(reduce(lambda a, b: a | b, [compile_pattern(r).matches(F.col("repo")) & compile_pattern(v).matches(F.col("rev")) for r, v in sources]))
+    last = events.groupBy("repo", "rev").agg(F.max_by(F.struct("seq", "sha", "local_path"), "seq").alias("e")).select("repo", "rev", "e.*")
+    known = scanned.select("repo", "rev", F.col("sha").alias("known"))
+    return last.join(known, ["repo", "rev"], "left").where("sha IS NULL OR known IS NULL OR sha <> known").drop("known")
+
+
+def subscribe(events: DataFrame, scanned_path: str, scan, checkpoint: str, sources: list[tuple[str, str]] = (), paused=lambda: False):
+    """Start the query: each batch gives its due checkouts to `scan`, then notes them as scanned, a folder a batch.
+
+    A batch that runs again overwrites its folder; its checkouts are scanned again, so `scan` must bear that, as Engine.save does.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        if paused():
+            return
+        spark = batch.sparkSession
+        noted = spark.read.schema("repo string, rev string, sha string, batch long").parquet(scanned_path).where(F.col("batch") < number)
+        due = due_checkouts(batch, noted.groupBy("repo", "rev").agg(F.max_by("sha", "batch").alias("sha")), sources).persist()
+        if not due.isEmpty():
+            scan(due)
+            due.select("repo", "rev", "sha").write.mode("overwrite").parquet(f"{scanned_path}/batch={number}")
+        due.unpersist()
+
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def sessions(events: DataFrame, gap: str = "100 milliseconds", late: str = "1 minute") -> DataFrame:
     """Bursts of events of a repository, parted by a quiet gap."""
     timed = events.withWatermark("event_ts", late) if events.isStreaming else events

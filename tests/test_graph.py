@@ -131,6 +131,48 @@ def test_resolve_imports(spark):
     assert got == {"../b": "src/b/index.ts", "./y": "src/a/y.tsx", "lodash/fp": "vendor/lodash/package.json", "./gone": None}
 
 
+def test_aliases_and_module_folders(spark):
+    values = ["@app/x", "@app/core/y", "@app", "dep", "@s/dep/sub", "deep", "none", "@app/"]
+    imports = spark.createDataFrame([("r", "pkg/a/m.ts", v) for v in values] + [("q", "pkg/a/m.ts", "@app/x")], "repo string, path string, value string")
+    files = ["src/x.ts", "lib/x.ts", "core/y.ts", "src/core/y.ts", "src/index.ts", "node_modules/dep/index.js", "pkg/node_modules/dep/index.js", "node_modules/@s/dep/sub.js", "pkg/a/b/node_modules/deep/index.js"]
+    files = spark.createDataFrame([("r", f) for f in files], "repo string, path string")
+    aliases = spark.createDataFrame([("r", "@app/*", "./lib/gone/*", 0), ("r", "@app/*", "./src/*", 1), ("r", "@app/core/*", "core/*", 0), ("r", "@app", "src", 0)], "repo string, pattern string, target string, nth int")
+    got = {(r.repo, r.value): r.target for r in graph.resolve_imports(imports, files, aliases=aliases).collect()}
+    want = {"@app/x": "src/x.ts", "@app/core/y": "core/y.ts", "@app": "src/index.ts", "dep": "pkg/node_modules/dep/index.js", "@s/dep/sub": "node_modules/@s/dep/sub.js", "deep": None, "none": None, "@app/": "src/index.ts"}
+    assert got == {("r", v): t for v, t in want.items()} | {("q", "@app/x"): None}
+
+
+@pytest.mark.parametrize(
+    ("predicates", "want"),
+    [
+        (["string"], {(1, 11)}),
+        (["norm"], {(1, 11), (2, 12)}),
+        (["norm2"], {(1, 11), (2, 12), (3, 13)}),
+        (["target"], {(1, 12)}),
+        (["file"], {(2, 11)}),
+        ([("stem", "tgt")], {(1, 11)}),
+        ([("ext", "src")], {(1, 14), (2, 14)}),
+        ([("dir", "src")], {(2, 14)}),
+        (["norm", ("kind", "tgt", "export_name")], {(1, 11)}),
+        ([("and", [("kind", "src", "mod"), ("and", ["norm", "repo"])])], {(2, 12)}),
+    ],
+)
+def test_links(spark, predicates, want):
+    shape = "id int, kind string, value string, repo string, path string, target string"
+    a = spark.createDataFrame([(1, "import_name", "Foo", "r", "a/x.ts", "b/foo_bar.rs"), (2, "mod", "foo-bar", "r", "ts/foo.ts", None), (3, "dep", "pay-api", None, None, None)], shape)
+    b = spark.createDataFrame([(11, "export_name", "Foo", "r", "ts/foo.ts", None), (12, "mod", "foo_bar", "r", "b/foo_bar.rs", None), (13, "dep", "pay-service", "q", None, None), (14, "dep", "TS", "q", None, None)], shape)
+    got = {(r.src, r.tgt) for r in graph.linked(a, b, predicates, ["-api", "-service"]).collect()}
+    assert got == want
+
+
+def test_a_link_needs_a_key(spark):
+    a = spark.createDataFrame([(1, "k", "v", "r", "p", None)], "id int, kind string, value string, repo string, path string, target string")
+    with pytest.raises(ValueError, match="every row would meet every row"):
+        graph.linked(a, a, [("kind", "src", "k")])
+    with pytest.raises(ValueError, match="unknown predicate"):
+        graph.linked(a, a, ["near"])
+
+
 def test_sinks(spark):
     df = spark.createDataFrame([("k", 2), ("k", 1), ("l", 5)], "k string, v int")
     assert {(r.k, r.v) for r in sinks.first_wins(df, ["k"], ["v"]).collect()} == {("k", 1), ("l", 5)}

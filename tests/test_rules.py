@@ -250,6 +250,44 @@ def test_nested_markers():
     assert [text[b:e].strip() for b, e in regions.markers(text, "BEGIN", "END")] == ["1\n// BEGIN b\n2\n// END\n3", "2"]
 
 
+RULED = "function a(x) { load(env.KEY); drop(env.OTHER) }\nload(env.lower); let y = 'env';\n"
+
+
+@pytest.mark.parametrize(
+    ("rule", "want"),
+    [
+        ({"pattern": "env.$N"}, ["KEY", "OTHER", "lower"]),
+        ({"pattern": "env.$N", "inside": {"pattern": "load($$$_)"}}, ["KEY", "lower"]),
+        ({"pattern": "env.$N", "not": {"regex": "[a-z]$"}}, ["KEY", "OTHER"]),
+        ({"pattern": "env.$N", "not": {"pattern": "env.OTHER"}}, ["KEY", "lower"]),
+        ({"pattern": "env.$N", "regex": "[A-Z]$"}, ["KEY", "OTHER"]),
+        ({"any": [{"pattern": "load(env.$N)"}, {"pattern": "drop(env.$N)"}]}, ["KEY", "OTHER", "lower"]),
+        ({"all": [{"pattern": "env.$N"}, {"regex": "KEY"}]}, ["KEY"]),
+        ({"pattern": "$F(env.$N)", "has": {"kind": "identifier", "regex": "^OTHER$"}}, ["OTHER"]),
+        ({"pattern": "$F(env.$N)", "follows": {"pattern": "load($$$_)"}}, ["OTHER"]),
+        ({"pattern": "$F(env.$N)", "precedes": {"pattern": "drop($$$_)"}}, ["KEY"]),
+    ],
+)
+def test_rule_objects(rule, want):
+    assert [c["N"][0] for c in code.structural(RULED, {"rule": rule}, "js")] == want
+
+
+def test_rule_objects_bind_and_limit(tmp_path, spark):
+    told = {"rule": {"pattern": "env.$N", "inside": {"pattern": "$F(env.$N)"}}, "constraints": {"N": {"regex": "^[A-Z]+$"}}, "language": "js"}
+    got = [{n: v for n, (v, *_) in c.items()} for c in code.structural(RULED, told)]
+    assert got == [{"N": "KEY", "F": "load"}, {"N": "OTHER", "F": "drop"}]
+    assert list(code.structural(RULED, {"rule": {"kind": "string"}}, "js")) == [{}]
+    for wrong in ({"kind": "call_expression"}, {"matches": "x"}):
+        with pytest.raises(ValueError, match="ast rule"):
+            list(code.structural(RULED, {"rule": wrong}, "js"))
+    (tmp_path / "ast.yml").write_text(json.dumps({"id": "env", **told}))
+    (tmp_path / "rules.json").write_text(json.dumps({"rules": [{"name": "env", "context": [["file", "*.ts"]], "matcher": ["ast", {"rule_file": "ast.yml"}, None]}]}))
+    program = Engine(spark).load(str(tmp_path / "rules.json"))
+    assert program.rules[0].columns == ["N", "F"]
+    assert language.hashes(program)["env"]
+    assert [c["N"][0] for c, _ in evaluate(program.rules[0], RULED, "a.ts", {}, {})] == ["KEY", "OTHER"]
+
+
 def test_json_rules_equal_the_language():
     rule = {"name": "r", "context": [["file", "**/*.json"]], "matcher": ["json", [["object", [[["exact", "packages"], [["object", [[["pattern", "$N@$V"], [["object", [[["exact", "tag"], [["leaf", "T"]]]]]]]]]]]]]]], "line": None}
     program = language.from_json(json.dumps({"rules": [rule, {"name": "l", "line": "FROM $IMAGE:$TAG"}, {"name": "m", "matcher": ["md", "- $ITEM"]}]}))

@@ -118,3 +118,24 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
         else:
             with pytest.raises(ValueError, match="spark.checkpoint.dir"):
                 shared.shared_dir(session)
+
+
+def test_checkouts_are_scanned_once(spark, tmp_path):
+    events, noted = str(tmp_path / "events"), str(tmp_path / "noted")
+    seen = []
+
+    def add(*rows):
+        spark.createDataFrame(rows, watch.CHECKOUTS).coalesce(1).write.mode("append").parquet(events)
+
+    def run(paused=lambda: False):
+        stream = watch.read_checkouts(spark, events)
+        watch.subscribe(stream, noted, lambda due: seen.append(sorted((r.repo, r.rev, r.sha) for r in due.collect())), str(tmp_path / "check"), [("org/*", "main")], paused).awaitTermination()
+
+    spark.createDataFrame([("org/c", "main", "s9")], "repo string, rev string, sha string").write.parquet(noted + "/batch=-1")
+    add((1, "org/a", "main", "s1", "/a"), (2, "org/a", "main", "s2", "/a"), (3, "org/b", "dev", "s1", "/b"), (4, "org/c", "main", "s9", "/c"), (5, "org/d", "main", None, "/d"))
+    run()
+    add((6, "org/a", "main", "s2", "/a"), (7, "org/c", "main", "s10", "/c"))
+    run()
+    add((8, "org/a", "main", "s3", "/a"))
+    run(paused=lambda: True)
+    assert seen == [[("org/a", "main", "s2"), ("org/d", "main", None)], [("org/c", "main", "s10")]]
