@@ -41,7 +41,7 @@ def print_eval(df: DataFrame, out=sys.stdout) -> None:
 def main(args: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     parser = argparse.ArgumentParser(prog="factweave", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for verb, names in {"eval": ["rule", "root"], "sql": ["rules", "root", "statement"], "check": ["rules", "root"], "query": ["rules", "root", "rule", "term"]}.items():
+    for verb, names in {"eval": ["rule", "root"], "sql": ["rules", "root", "statement"], "check": ["rules", "root"], "query": ["rules", "root", "rule", "term"], "scan": ["rules", "root", "tables"], "status": ["tables"], "reset": ["tables"]}.items():
         sub = verbs.add_parser(verb)
         for name in names:
             sub.add_argument(name)
@@ -51,11 +51,23 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=s
         sub.add_argument("--rev", default="main")
     given = parser.parse_args(args)
     spark = spark or SparkSession.builder.appName("factweave").getOrCreate()
-    engine, files = Engine(spark), blobs(spark, given.root, given.repo, given.rev)
+    engine = Engine(spark)
+    if given.verb in ("status", "reset"):
+        if given.verb == "status":
+            print_tsv(engine.status(given.tables, f"{given.tables}/manifest.json").orderBy("rule", "repo", "rev"), out)
+        else:
+            for name in engine.reset(given.tables, f"{given.tables}/manifest.json"):
+                print(name, file=out)
+        return 0
+    files = blobs(spark, given.root, given.repo, given.rev)
     if given.verb == "eval":
         print_eval(engine.eval(given.rule, files), out)
         return 0
     program = engine.load(given.rules)
+    if given.verb == "scan":
+        for name, action in sorted(engine.save(files, program, given.tables, f"{given.tables}/manifest.json").items()):
+            print(f"{name}\t{action}", file=out)
+        return 0
     found = engine.scan(files, program)
     if given.verb == "sql":
         try:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,29 @@ from .plans.language import Program
 from .shared import read_small, remove, write_small
 
 
+#: Names the rules where none are given.
+RULES_VARIABLE = "FACTWEAVE_RULES"
+ENDING = ".weave"
+
+
+def rule_files(given: str | None = None) -> list[str]:
+    """Files with rules, in the order of their names: of a folder, a glob or a single file.
+
+    Where nothing is given: what $FACTWEAVE_RULES names, else rule files of the working folder, else its rules.json or
+    rules.yaml. None at all is an error.
+    """
+    given = given or os.environ.get(RULES_VARIABLE)
+    if given and os.path.isdir(given):
+        found = sorted(glob.glob(os.path.join(glob.escape(given), "*" + ENDING)))
+    elif given:
+        found = [given] if os.path.exists(given) else sorted(glob.glob(given, recursive=True))
+    else:
+        found = sorted(glob.glob("*" + ENDING)) or [p for p in ("rules.json", "rules.yaml") if os.path.exists(p)][:1]
+    if not found:
+        raise FileNotFoundError(f"no rules in {given or 'the working folder'}")
+    return found
+
+
 def _read(path: str, text: str):
     if path.endswith(".json"):
         return json.loads(text)
@@ -40,9 +65,9 @@ class Engine:
         self.spark, self.namespace = spark, namespace
 
     def load(self, *paths: str) -> Program:
-        """Rules of files: JSON or YAML by ending, else the rule language. Equal names add up."""
+        """Rules of files, folders and globs: JSON or YAML by ending, else the rule language. Equal names add up."""
         rules, checks = [], {}
-        for path in paths:
+        for path in (file for given in paths or [None] for file in rule_files(given)):
             with open(path) as f:
                 text = f.read()
             if path.endswith((".yaml", ".yml", ".json")):
@@ -92,6 +117,28 @@ class Engine:
         write_small(self.spark, manifest_path, sinks.manifest(after))
         return actions
 
+    def status(self, path: str, manifest_path: str) -> DataFrame:
+        """rule, repo, rev, rows of the tables that `save` keeps."""
+        told = read_small(self.spark, manifest_path)
+        shape = "rule string, repo string, rev string, rows bigint"
+        out = self.spark.createDataFrame([], shape)
+        for name in sorted(json.loads(told)) if told else []:
+            try:
+                kept = self.spark.read.parquet(f"{path}/{name}")
+            except AnalysisException:  # a rule without rows has no files
+                continue
+            out = out.unionByName(kept.groupBy("repo", "rev").agg(F.count("*").alias("rows")).select(F.lit(name).alias("rule"), F.col("repo").cast("string"), F.col("rev").cast("string"), "rows"))
+        return out
+
+    def reset(self, path: str, manifest_path: str) -> list[str]:
+        """Delete the tables that the manifest names, then the manifest; returns their names. Other files stay."""
+        told = read_small(self.spark, manifest_path)
+        names = sorted(json.loads(told)) if told else []
+        for name in names:
+            remove(self.spark, f"{path}/{name}")
+        remove(self.spark, manifest_path)
+        return names
+
     def demand_scan(self, seed: DataFrame, read, program: Program, rule: str, local: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
         """Scan (repo, rev) pairs until a rule's annotated captures name no new one. read: pairs -> blobs."""
         repo, rev = language.scan_columns(program, rule)

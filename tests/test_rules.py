@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from factweave.engine import Engine
+from factweave.engine import RULES_VARIABLE, Engine, rule_files
 from factweave.operators import code, regions, tree
 from factweave.operators.extract import evaluate, extract, facts, tables
 from factweave.plans import language, sqlgate
@@ -143,6 +143,62 @@ def test_the_gate_reads_whole_statements(spark):
             sqlgate.sql(spark, bad)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("json_extract(j, '$.a.b')", "7"),
+        ("json_extract(j, '$.none')", None),
+        ("json_valid(j) || json_valid('{')", "10"),
+        ("json_type('[1]') || json_type('3') || json_type('null') || json_type('\"x\"') || json_type(' true ')", "arrayintegernulltexttrue"),
+        ("datetime(at)", "2024-02-29 13:05:09"),
+        ("datetime('no time')", None),
+        ("strftime('%H:%M:%S', at)", "13:05:09"),
+        ("strftime('it''s %Y', at)", "it's 2024"),
+        ("strftime('%Y/%m/%d at %H:%M', at)", "2024/02/29 at 13:05"),
+        ("strftime('%j', at)", "060"),
+        ("unixepoch('1970-01-02')", 86400),
+        ("julianday('2000-01-01 12:00:00')", 2451545.0),
+        ("iif(1 < 2, 'y', 'n')", "y"),
+        ("'iif(' || instr('abc', 'c') || substr('abc', 2, 1) || trim(' x ')", "iif(3bx"),
+    ],
+)
+def test_functions_of_the_other_dialect(spark, text, want):
+    spark.sql("""SELECT '{"a": {"b": 7}}' AS j, '2024-02-29 13:05:09' AS at""").createOrReplaceTempView("told")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        assert sqlgate.sql(spark, f"SELECT {text} AS r FROM told").first().r == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_json_each(spark):
+    spark.createDataFrame([(1, '{"a": 1, "b": "x"}'), (2, "[5, null]"), (3, "7"), (4, None)], "id int, j string").createOrReplaceTempView("held")
+    got = sqlgate.sql(spark, "SELECT id, e.key, e.value FROM held, json_each(held.j) AS e").collect()
+    assert sorted((r.id, r.key, r.value) for r in got if r.value) == [(1, "a", "1"), (1, "b", "x"), (2, "0", "5")] and len(got) == 4
+
+
+def test_rule_files(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.delenv(RULES_VARIABLE, raising=False)
+    with pytest.raises(FileNotFoundError, match="no rules"):
+        rule_files()
+    (tmp_path / "rules.json").write_text('{"rules": []}')
+    assert rule_files() == ["rules.json"]
+    for name in ("b.weave", "a.weave"):
+        (tmp_path / name).write_text(f"rule({name[0]}) {{ line($X) }};")
+    assert rule_files() == ["a.weave", "b.weave"]
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "c.weave").write_text("rule(c) { line($X) };")
+    monkeypatch.setenv(RULES_VARIABLE, "more")
+    assert rule_files() == ["more/c.weave"]
+    assert rule_files("*.weave") == ["a.weave", "b.weave"] and rule_files("more/c.weave") == ["more/c.weave"]
+    assert [r.name for r in Engine(spark).load(".", "more").rules] == ["a", "b", "c"]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError, match="no rules"):
+        rule_files("empty")
+
+
 def test_engine_views_checks_and_gate(spark):
     blobs = spark.createDataFrame([("a", "main", [], "x.json", '{"name":"Foo-Bar","v":"1"}'), ("b", "main", [], "x.json", '{"name":"foo","v":"2"}')], BLOB)
     engine = Engine(spark)
