@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, materialize, table
+from .common import LOWER, UPPER, WORD, lean, materialize, table
 
 ROWS, BANDS = 8, 64
 #: Heads that a representative is compared with at first, and members of one head that go to one task.
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n", "digest", "keys"])
 
     marked = docs.select(F.col("doc_id").cast("long"), _mark(), "text")
-    return marked.mapInArrow(run, "doc_id long, mark long, n long, digest binary, keys array<long>")
+    return marked.mapInArrow(lean(run), "doc_id long, mark long, n long, digest binary, keys array<long>")
 
 
 def _mark():
@@ -250,7 +250,7 @@ def stars(shared: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         yield from _links(found)
 
     dealt = rows.repartition("head", "part").sortWithinPartitions("head", "part", F.asc_nulls_first("rep"))
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def across(labelled: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -286,7 +286,7 @@ def across(labelled: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                 found = []
         yield from _links(found)
 
-    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -297,7 +297,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), words, memo).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "set"])
 
-    return docs.join(nodes, F.col("doc_id") == F.col("rep")).select("doc_id", "text").mapInArrow(run, "node long, set binary")
+    return docs.join(nodes, F.col("doc_id") == F.col("rep")).select("doc_id", "text").mapInArrow(lean(run), "node long, set binary")
 
 
 def _classed(docs: DataFrame, words: int, share: int, rows: int, bands: int) -> DataFrame:

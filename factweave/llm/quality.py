@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, lean, table
 
 SAMPLE, DIM, RANK, EPOCHS, RATE = 8000, 1 << 16, 8, 6, 0.1
 BINS = np.array([0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
@@ -181,7 +181,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             good = [own.score(*features(t.as_py(), memo, n)) >= 0.5 for t, n in zip(batch.column(text), sizes, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

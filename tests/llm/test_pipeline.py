@@ -3,11 +3,12 @@
 import hashlib
 import os
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from factweave.llm import bpe, mixing, quality
-from factweave.llm.common import LOWER, UPPER
+from factweave.llm import bpe, mixing, near_dedup, quality
+from factweave.llm.common import LOWER, PART_BYTES, UPPER, lean
 
 from .test_operators import brute_classes
 
@@ -68,3 +69,48 @@ def test_stages_on_odd_rows_and_an_empty_table(spark, name):
     else:
         assert Counter((r.doc_id, r.decoded_sha256) for r in got) == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in ODD)
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def worker_mb(spark) -> dict[int, float]:
+    """MB of the Python workers by process, without mapped files."""
+
+    def run(batches):
+        import re
+        import time
+
+        for _ in batches:
+            time.sleep(0.5)  # so that each task has a worker of its own
+            with open("/proc/self/smaps_rollup") as f:
+                held = sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", f.read()))) / 1024
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([held])], names=["pid", "mb"])
+
+    return {r.pid: r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(run, "pid long, mb double").collect()}
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="needs Linux")
+def test_workers_give_memory_back(spark):
+    """Long texts in one batch: their sets are made in parts, and a worker keeps none of it once its task is over."""
+    from pyspark.sql import functions as F
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("w"), (F.col("id") * 7 + i) % 5000)), " ")
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    worker_mb(spark)
+    before = worker_mb(spark)
+    assert near_dedup.shingle_sets(docs, docs.select(F.col("doc_id").alias("rep")).hint("broadcast"), 3).agg(F.sum(F.length("set"))).first()[0] == 4000 * 1998 * 8
+    after = worker_mb(spark)
+    assert sum(after.values()) - sum(before.get(p, 40) for p in after) < 20
+
+
+def test_parts_hold_every_row_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["x" * 5000] * 3000)], names=["id", "text"])
+    wide = pa.RecordBatch.from_arrays([pa.array([-1]), pa.array(["y" * (2 * PART_BYTES)])], names=["id", "text"])
+    seen = []
+
+    def run(batches):
+        for b in batches:
+            seen.append(b.nbytes)
+            yield b
+
+    out = list(lean(run)([batch, batch.slice(0, 0), wide]))
+    assert [i for b in out for i in b.column(0).to_pylist()] == [*range(3000), -1]
+    assert len(seen) > 3 and max(seen[:-1]) <= PART_BYTES
