@@ -316,7 +316,7 @@ def j12_theta(spark, d):
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON lower(regexp_replace(a.p_name, '[^A-Za-z0-9]', '', 'g')) = lower(regexp_replace(b.p_name, '[^A-Za-z0-9]', '', 'g')) AND a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand")
 def j14_link_norm(spark, d):
     none = F.lit(None).cast("string")
-    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("part").alias("kind"), F.col("p_name").alias("value"), F.col("p_brand").alias("repo"), none.alias("path"), none.alias("target"))
+    p = t(spark, d, "part").where("p_partkey IS NOT NULL").select(F.col("p_partkey").alias("id"), F.lit("part").alias("kind"), F.col("p_name").alias("value"), F.col("p_brand").alias("repo"), none.alias("path"), none.alias("target"))
     return graph.linked(p, p, ["norm", "repo"]).where("src < tgt").select(F.col("src").alias("a"), F.col("tgt").alias("b"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 from itertools import groupby
@@ -198,6 +199,38 @@ def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame |
 #: Links between two references: what must be equal, and what a side must be. Names of sides are `src` and `tgt`.
 _EQUAL = {"norm": ("norm", "norm"), "norm2": ("norm2", "norm2"), "string": ("value", "value"), "target": ("target", "path"), "repo": ("repo", "repo"), "file": ("path", "path")}
 
+#: Rows of one key and side that meet as a block. BLOCK * BLOCK pairs are what a task gets on average.
+BLOCK = 4096
+MOST_TASKS = 20_000
+
+
+def _met(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """src, tgt of all rows with equal keys. sources: src and keys, targets: tgt and the same keys, none null.
+
+    What joins put out grows with the square of a key's rows, what Spark deals tasks by only with the rows. So keys are cut
+    into blocks of about BLOCK rows a side, and each pair of blocks goes to a task of its own or shares one with a few others.
+    """
+    keys = [c for c in sources.columns if c != "src"]
+    counts = lambda: sources.groupBy(*keys).agg(F.count("*").alias("m")).join(targets.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    total = counts().agg(F.sum(F.col("m").cast("double") * F.col("n"))).first()[0] or 0
+    if total <= BLOCK * BLOCK:
+        return sources.join(targets, keys).select("src", "tgt")
+    sources, targets = settled(sources, "link-rows"), settled(targets, "link-rows")
+    cut = lambda c: F.ceil(F.col(c) / BLOCK).cast("int").alias(c)
+    each = settled(counts().select(*keys, cut("m"), cut("n")), "link-keys")
+    tasks, cell = min(MOST_TASKS, math.ceil(total / (BLOCK * BLOCK))), [*keys, "x", "y"]
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        # The place in settled files, so equal and null ids spread, too, and a task that runs again finds the same.
+        placed = rows.withColumn("place", F.monotonically_increasing_id()).join(each, keys)
+        block = [F.pmod(F.xxhash64("place"), own).cast("int").alias("x" if own == "m" else "y"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("y" if own == "m" else "x")]
+        return placed.select(rows.columns[0], *keys, *block).repartition(tasks, *cell)
+
+    blocks = dealt(targets, "n", "m").groupBy(*cell).agg(F.collect_list(F.struct("tgt")).alias("block"))
+    # Merged with the blocks as the buffered side, a task holds the pairs of one row and one block at a time.
+    pairs = dealt(sources, "m", "n").join(blocks.hint("merge"), cell).select("src", F.explode("block").alias("other"))
+    return pairs.select("src", F.col("other.tgt").alias("tgt"))
+
 
 def linked(sources: DataFrame, targets: DataFrame, predicates: list, suffixes: list[str] = ()) -> DataFrame:
     """src, tgt (ids) of the references that all predicates link.
@@ -206,7 +239,7 @@ def linked(sources: DataFrame, targets: DataFrame, predicates: list, suffixes: l
     (without one of `suffixes`), "string", "target" (the source resolves to the target's file), "repo", "file";
     ("kind", side, kind); ("stem" | "ext" | "dir", side): that part of the side's path, in small letters, is the normal
     form of the other's value; ("and", [predicates]). "file" and "target" hold within a repository. Null equals nothing. At
-    least one predicate must compare both sides, so that the join has a key.
+    least one predicate must compare both sides, so that the join has a key. Rows are counted at once, joined when read.
     """
     parts = {"stem": stem, "ext": extension, "dir": directory}
     flat, todo = [], list(predicates)
@@ -215,25 +248,26 @@ def linked(sources: DataFrame, targets: DataFrame, predicates: list, suffixes: l
         todo[:0] = p[1] if p[0] == "and" else []
         flat += [] if p[0] == "and" else [p]
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        whole = df.where(reduce(lambda a, b: a & b, [F.col("kind") == p[2] for p in flat if p[0] == "kind" and p[1] == name], F.lit(True)))
-        value = F.col("value")
-        told = {"norm": norm(value), "norm2": norm2(value, list(suffixes)), **{k: F.lower(f(F.col("path"))) for k, f in parts.items()}}
-        return whole.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("value", "repo", "path", "target")], *[c.alias(f"{name}_{n}") for n, c in told.items()])
-
-    on = []
+    equal = []  # columns of the source and the target
     for p in flat:
         if p[0] in parts and not isinstance(p, str):
-            other = "tgt" if p[1] == "src" else "src"
-            on.append(F.col(f"{p[1]}_{p[0]}") == F.col(f"{other}_norm"))
+            equal.append((p[0], "norm") if p[1] == "src" else ("norm", p[0]))
         elif p in _EQUAL:
-            on.append(F.col(f"src_{_EQUAL[p][0]}") == F.col(f"tgt_{_EQUAL[p][1]}"))
-            on += [F.col("src_repo") == F.col("tgt_repo")] if p in ("file", "target") else []
+            equal += [_EQUAL[p], *([("repo", "repo")] if p in ("file", "target") else [])]
         elif p[0] != "kind":
             raise ValueError(f"link: unknown predicate {p!r}")
-    if not on:
+    if not equal:
         raise ValueError("link: no predicate compares the two sides, so every row would meet every row")
-    return side(sources, "src").join(side(targets, "tgt"), reduce(lambda a, b: a & b, on)).select("src", "tgt")
+    equal = list(dict.fromkeys(equal))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        whole = df.where(reduce(lambda a, b: a & b, [F.col("kind") == p[2] for p in flat if p[0] == "kind" and p[1] == name], F.lit(True)))
+        value = F.col("value")
+        told = {"norm": norm(value), "norm2": norm2(value, list(suffixes)), **{k: F.lower(f(F.col("path"))) for k, f in parts.items()}}
+        keys = [told.get(e[name == "tgt"], F.col(e[name == "tgt"])).alias(f"key{n}") for n, e in enumerate(equal)]
+        return whole.select(F.col("id").alias(name), *keys).dropna(subset=[f"key{n}" for n in range(len(equal))])
+
+    return _met(side(sources, "src"), side(targets, "tgt"))
 
 
 def relays(imports: DataFrame, wanted: DataFrame, exports: DataFrame) -> DataFrame:

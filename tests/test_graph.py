@@ -165,6 +165,20 @@ def test_links(spark, predicates, want):
     assert got == want
 
 
+def test_links_of_one_key_are_dealt_over_tasks(spark, monkeypatch):
+    """A key's pairs go to tasks by blocks, repeated and null ids and keys that only one side has included."""
+    monkeypatch.setattr(graph, "BLOCK", 50, raising=False)
+    shape = lambda df, value: df.select("id", F.lit("k").alias("kind"), value.alias("value"), F.lit("r").alias("repo"), F.lit("p").alias("path"), F.lit(None).cast("string").alias("target"))
+    named = lambda n: F.when(F.col("id") >= 900, F.concat(F.lit(f"{n}-"), F.col("id").cast("string"))).when(F.col("id") >= 890, None).when(F.col("id") >= 870, "few").otherwise("Hot")
+    twice = lambda df: df.unionByName(df.where("id < 5")).unionByName(spark.range(300).select(F.lit(None).cast("long").alias("id")))
+    a, b = shape(twice(spark.range(1000)), named("a")), shape(twice(spark.range(600, 1000)), named("b"))
+    got = graph.linked(a, b, ["norm", "repo"])
+    plain = a.alias("a").join(b.alias("b"), F.lower("a.value") == F.lower("b.value")).select(F.col("a.id").alias("src"), F.col("b.id").alias("tgt"))
+    assert got.dtypes == plain.dtypes and got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+    made = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == (870 + 5 + 300) * (270 + 300) + 20 * 20 and max(made) <= 12 * 50 * 50
+
+
 def test_a_link_needs_a_key(spark):
     a = spark.createDataFrame([(1, "k", "v", "r", "p", None)], "id int, kind string, value string, repo string, path string, target string")
     with pytest.raises(ValueError, match="every row would meet every row"):
